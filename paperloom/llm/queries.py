@@ -11,6 +11,7 @@ from paperloom.llm.canonical import map_values
 from paperloom.llm.mixing import mix_sources
 from paperloom.llm.names import link_names, name_pairs
 from paperloom.llm.packing import count_tokens, fill_containers
+from paperloom.llm.personal import redact_texts
 from paperloom.llm.pieces import split_documents
 from paperloom.llm.quantiles import exact_quantiles, merge_sketches, read_quantiles, sketch_groups
 from paperloom.session import cut, table
@@ -92,6 +93,23 @@ def p6_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return values.join(none, ["field", "value"]).groupBy("field", "value").agg(F.count("*").alias("n_rows"))
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    cases = table(spark, d, "eval_cases").select(F.lit("eval_cases").alias("tbl"), F.col("case_id").alias("rec_id"), "text")
+    fields = table(spark, d, "extracted_fields").select(F.lit("extracted_fields").alias("tbl"), F.col("field_id").cast("string").alias("rec_id"), F.col("field_value").alias("text"))
+    return cases.unionByName(fields)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    texts = _texts(spark, d).where("rec_id is not null and text is not null")
+    items = redact_texts(texts, ["tbl", "rec_id"], "text").select("tbl", "rec_id", F.explode("items").alias("i"))
+    return items.select("tbl", "rec_id", F.col("i.kind").alias("kind"), F.col("i.start_pos").alias("start_pos")).distinct()
+
+
+def p7_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """The texts with typed placeholders and a truthful flag."""
+    return redact_texts(_texts(spark, d), ["tbl", "rec_id"], "text").select("tbl", "rec_id", "redacted_text", "redacted")
+
+
 def _limit(spark: SparkSession, d: str, purpose: str) -> tuple[int, int]:
     row = table(spark, d, "size_limits").where(F.col("purpose") == purpose).first()
     return row["max_tokens"], row["overlap_tokens"]
@@ -154,7 +172,7 @@ P10_SQL = f"SELECT doc_id FROM documents WHERE {_SQL_TOKENS} > (SELECT max_token
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_entities, p4_found, p4_quantiles, p6_found, p6_unmatched, p8_containers, p8_fill, p9_found, p9_report, p9_selection, p10_found, p10_pieces,
+        p1_found, p1_entities, p4_found, p4_quantiles, p6_found, p6_unmatched, p7_found, p7_redacted, p8_containers, p8_fill, p9_found, p9_report, p9_selection, p10_found, p10_pieces,
     )
 }
 
