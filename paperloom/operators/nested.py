@@ -39,7 +39,7 @@ def read_record(text: str | None, record_keys: tuple[str, ...] = ()) -> dict | l
         if not isinstance(value, str):
             break
         try:
-            value = json.loads(value.lstrip("﻿").strip())
+            value = json.loads(value.lstrip("\ufeff").strip())
         except (ValueError, RecursionError):
             return None
     if not isinstance(value, (dict, list)) or not record_keys:
@@ -54,9 +54,9 @@ def read_record(text: str | None, record_keys: tuple[str, ...] = ()) -> dict | l
         else:
             children = list(at)
         for child in children if depth < MAX_DEPTH else ():
-            if isinstance(child, str) and child.lstrip("﻿ \t\r\n")[:1] in ("{", "[", '"'):
+            if isinstance(child, str) and child.lstrip("\ufeff \t\r\n")[:1] in ("{", "[", '"'):
                 try:
-                    child = json.loads(child.lstrip("﻿").strip())
+                    child = json.loads(child.lstrip("\ufeff").strip())
                 except (ValueError, RecursionError):
                     continue
                 if isinstance(child, str):

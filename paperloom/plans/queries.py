@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from paperloom.plans.core_problems import QUERIES as _PROBLEMS
-from paperloom.plans.core_problems import p5_found as flagship
+from paperloom.plans.reference_queries import ORACLES as _SQL
+from paperloom.plans.reference_queries import QUERIES as _DOCUMENTS
+from paperloom.plans.reference_queries import invoice_roundtrip_kv as flagship
 
-QUERIES = dict(_PROBLEMS)
-ORACLES: dict[str, str] = {}
+QUERIES = {**_DOCUMENTS, **_PROBLEMS}
+ORACLES: dict[str, str] = dict(_SQL)
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
