@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -21,19 +22,29 @@ def keyword_scores(text: Column) -> Column:
     return F.create_map(*[x for t in DOC_TYPES for x in (F.lit(t), score(t))])
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value worked out once, however often it is referred to."""
+    return F.transform(F.array(value), use)[0]
+
+
 def best_type(scores: Column) -> Column:
     """struct<doc_type, confidence>: the type with the highest score, with the margin to the second as confidence.
 
     Ties go to the type declared first; a document without any hit is a form with confidence 0.35.
     """
-    ranked = F.array_sort(F.array(*[F.struct((-F.element_at(scores, F.lit(t))).alias("score"), F.lit(i).alias("ord"), F.lit(t).alias("doc_type")) for i, t in enumerate(DOC_TYPES)]))
-    best, second = -ranked[0]["score"], -ranked[1]["score"]
-    margin = (best - second) / F.greatest(best, F.lit(1.0))
-    found = best > 0
-    return F.struct(
-        F.when(found, ranked[0]["doc_type"]).otherwise("form").alias("doc_type"),
-        F.when(found, F.round(0.35 + 0.6 * F.least(F.lit(1.0), margin), 3)).otherwise(0.35).alias("confidence"),
-    )
+
+    def rank(held: Column) -> Column:
+        return F.array_sort(F.array(*[F.struct((-F.element_at(held, F.lit(t))).alias("score"), F.lit(i).alias("ord"), F.lit(t).alias("doc_type")) for i, t in enumerate(DOC_TYPES)]))
+
+    def pick(ranked: Column) -> Column:
+        best, second = -ranked[0]["score"], -ranked[1]["score"]
+        margin = (best - second) / F.greatest(best, F.lit(1.0))
+        return F.struct(
+            F.when(best > 0, ranked[0]["doc_type"]).otherwise("form").alias("doc_type"),
+            F.when(best > 0, F.round(0.35 + 0.6 * F.least(F.lit(1.0), margin), 3)).otherwise(0.35).alias("confidence"),
+        )
+
+    return bind(scores, lambda held: bind(rank(held), pick))
 
 
 def model_type(answer: Column) -> Column:
@@ -50,7 +61,10 @@ def classify(text: Column, answer: Column | None = None, requested: Column | Non
 
     With an answer that can't be used, the keywords' confidence is capped at 0.6.
     """
-    keywords = best_type(keyword_scores(text))
+    return bind(best_type(keyword_scores(text)), lambda keywords: _decide(keywords, answer, requested))
+
+
+def _decide(keywords: Column, answer: Column | None, requested: Column | None) -> Column:
     pack = lambda s, c, m: F.struct(s["doc_type"].alias("doc_type"), c.alias("confidence"), F.lit(m).alias("method"))
     out = pack(keywords, keywords["confidence"], "heuristic")
     if answer is not None:

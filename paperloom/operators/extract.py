@@ -104,7 +104,7 @@ def extract_fields(docs: DataFrame) -> DataFrame:
     with one doc_id all candidates count together.
     """
     if "doc_type" not in docs.columns:
-        docs = docs.withColumn("doc_type", classify(F.col("text"))["doc_type"])
+        docs = docs.select("doc_id", "text", F.inline(F.array(classify(F.col("text")))))
     spark = docs.sparkSession
     labels = label_table(spark)
     ready = with_candidates(docs)
@@ -139,22 +139,18 @@ def extract_fields(docs: DataFrame) -> DataFrame:
         F.when(is_rule, F.col("confidence")).when(is_exact, F.greatest(F.lit(0.55), 0.92 - 0.04 * F.col("rank"))).otherwise(F.greatest(F.lit(0.5), 0.82 - 0.04 * F.col("rank"))).alias("confidence"),
     )
     # only the first hit by label is read; if it must be dropped, the rules may still give the field
-    order = F.struct("rank", "pos")
-    label_pass = F.when(F.col("pass") < 3, F.col("pass"))
-    best = (
+    first = (
         hits.repartition("doc_id")
-        .groupBy("doc_id", "doc_type", "name")
-        .agg(
-            F.min_by(F.struct("raw", "confidence"), F.when(label_pass.isNotNull(), F.struct("pass", "rank", "pos"))).alias("by_label"),
-            F.min_by(F.struct("raw", "confidence"), F.when(label_pass.isNull(), order)).alias("by_rule"),
-        )
+        .groupBy("doc_id", "doc_type", "name", (F.col("pass") == 3).alias("by_rule"))
+        .agg(F.min_by(F.struct("raw", "confidence"), F.struct("pass", "rank", "pos")).alias("h"))
     )
-    read = best.withColumns({"l": coerce(F.col("name"), F.btrim("by_label.raw")), "r": coerce(F.col("name"), F.col("by_rule.raw"))})
-    good = lambda c: (F.coalesce(F.col(f"{c}.value_str"), F.lit("")) != "") | F.col(f"{c}.value_num").isNotNull()
-    use = F.when(good("l"), F.struct("l.*", F.col("by_label.confidence").alias("base"))).when(good("r"), F.struct("r.*", F.col("by_rule.confidence").alias("base")))
-    kept = read.withColumn("u", use).where("u is not null")
+    raw = F.when(F.col("by_rule"), F.col("h.raw")).otherwise(F.btrim("h.raw"))
+    # the generator keeps the reading in one place of the plan: nothing above it is pushed into it
+    read = first.select("doc_id", "doc_type", "name", "by_rule", F.col("h.confidence").alias("base"), F.inline(F.array(coerce(F.col("name"), raw))))
+    good = read.where("coalesce(value_str, '') <> '' or value_num is not null")
+    best = good.groupBy("doc_id", "doc_type", "name").agg(F.min_by(F.struct("value_str", "value_num", "base", "penalty"), "by_rule").alias("u"))
     confidence = F.round(F.least(F.lit(0.98), F.greatest(F.lit(0.05), F.col("u.base") - F.col("u.penalty"))), 3)
-    return kept.select("doc_id", "doc_type", "name", F.col("u.value_str").alias("value_str"), F.col("u.value_num").alias("value_num"), confidence.alias("confidence"), F.lit("regex").alias("source"))
+    return best.select("doc_id", "doc_type", "name", F.col("u.value_str").alias("value_str"), F.col("u.value_num").alias("value_num"), confidence.alias("confidence"), F.lit("regex").alias("source"))
 
 
 def fields_from_answer(answers: DataFrame, id_col: str = "doc_id", source: str = "extractor") -> DataFrame:

@@ -16,6 +16,7 @@ from paperloom.operators.classify import classify
 from paperloom.operators.extract import extract_fields
 from paperloom.operators.score import needs_reprocessing, route, score_documents
 from paperloom.operators.validate import penalize_fields, pii_findings, redact_fields, validate_fields
+from paperloom.session import cut
 from paperloom.sources.readers import check_text
 
 
@@ -44,8 +45,9 @@ class Stages:
 def classify_documents(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text[, requested_type]) with doc_type, type_confidence and classifier_method."""
     requested = F.col("requested_type") if "requested_type" in docs.columns else None
-    typed = docs.withColumn("__c", classify(F.col("text"), requested=requested))
-    return typed.select("*", F.col("__c.doc_type").alias("doc_type"), F.col("__c.confidence").alias("type_confidence"), F.col("__c.method").alias("classifier_method")).drop("__c")
+    # the generator keeps the classification in one place of the plan, however often the type is used
+    typed = F.inline(F.array(classify(F.col("text"), requested=requested)))
+    return docs.select("*", typed).withColumnsRenamed({"confidence": "type_confidence", "method": "classifier_method"})
 
 
 def judge(docs: DataFrame, fields: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -70,8 +72,9 @@ def run(docs: DataFrame, settings: Settings | None = None) -> Stages:
     errors = checked.where("error_code is not null").select("doc_id", "error_code")
     usable = checked.where("error_code is null").drop("error_code")
     typed = usable if "doc_type" in usable.columns else classify_documents(usable)
-    extracted = extract_fields(typed.select("doc_id", "doc_type", "text"))
-    kinds = typed.select("doc_id", "doc_type")
+    # narrow rows that every later step reads; written once, so that no text is parsed twice
+    extracted = cut(extract_fields(typed.select("doc_id", "doc_type", "text")))
+    kinds = cut(typed.select("doc_id", "doc_type"))
     fields, findings, scores = judge(kinds, extracted, settings)
     return Stages(typed, errors, fields, findings, scores, settings)
 

@@ -42,7 +42,7 @@ _FACTS = f"""
 WITH items AS (SELECT l_orderkey, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS subtotal FROM lineitem GROUP BY l_orderkey),
 based AS (
   SELECT o_orderkey, CAST(o_orderdate AS DATE) AS issue, subtotal, c_name, o_custkey + 800000000 AS b,
-         array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS nation,
+         array_to_string(list_transform(string_split(lower(translate(n_name, '_0123456789', ' ABCDEFGHIJ')), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS nation,
          CASE o_orderkey % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' ELSE 'COP' END AS currency
   FROM orders JOIN items ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
 facts AS (

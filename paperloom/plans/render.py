@@ -32,7 +32,7 @@ def order_facts(spark: SparkSession, d: str) -> DataFrame:
     """What an order says as an invoice: number, vendor, dates, sums. Orders without items are left out."""
     items = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("decimal(18,2)").alias("subtotal"))
     customers = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey")
-    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.initcap("n_name").alias("nation"))
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.initcap(F.translate("n_name", "_0123456789", " ABCDEFGHIJ")).alias("nation"))
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("issue"))
     joined = orders.join(items, F.col("o_orderkey") == F.col("l_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(nations), "c_nationkey")
     rows = joined.withColumns(
