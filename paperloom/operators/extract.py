@@ -146,7 +146,9 @@ def extract_fields(docs: DataFrame) -> DataFrame:
     )
     raw = F.when(F.col("by_rule"), F.col("h.raw")).otherwise(F.btrim("h.raw"))
     # the generator keeps the reading in one place of the plan: nothing above it is pushed into it
-    read = first.select("doc_id", "doc_type", "name", "by_rule", F.col("h.confidence").alias("base"), F.inline(F.array(coerce(F.col("name"), raw))))
+    as_found = F.struct(raw.alias("value_str"), F.lit(None).cast("double").alias("value_num"), F.lit(0.0).alias("penalty"))
+    value = F.when(F.col("by_rule") & F.col("name").isin("vendor", "title", "parties"), as_found).otherwise(coerce(F.col("name"), raw))
+    read = first.select("doc_id", "doc_type", "name", "by_rule", F.col("h.confidence").alias("base"), F.inline(F.array(value)))
     good = read.where("coalesce(value_str, '') <> '' or value_num is not null")
     best = good.groupBy("doc_id", "doc_type", "name").agg(F.min_by(F.struct("value_str", "value_num", "base", "penalty"), "by_rule").alias("u"))
     confidence = F.round(F.least(F.lit(0.98), F.greatest(F.lit(0.05), F.col("u.base") - F.col("u.penalty"))), 3)

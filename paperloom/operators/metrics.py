@@ -119,12 +119,13 @@ def latency_stats(df: DataFrame, value: str, groups: list[str] | None = None) ->
     n = F.col("__all")
     p95 = F.least(n - 1, F.bround(0.95 * (n - 1), 0).cast("long"))
     exact = F.col(value).cast("decimal(20,4)") * F.col("__n")
-    return ranked.groupBy(*groups).agg(
+    stats = ranked.groupBy(*groups).agg(
         F.max("__all").alias("n"),
         F.round(F.sum(exact).cast("double") / F.max("__all"), 1).alias("mean"),
         F.max(F.when(at(F.floor(n / 2)), F.col(value))).alias("p50"),
         F.max(F.when(at(p95), F.col(value))).alias("p95"),
     )
+    return stats.where("n is not null")
 
 
 def recent(df: DataFrame, order: list[str], limit: int) -> DataFrame:

@@ -56,7 +56,9 @@ def judge(docs: DataFrame, fields: DataFrame, settings: Settings) -> tuple[DataF
     lowered = penalize_fields(fields, findings)
     if settings.redact:
         masked = redact_fields(lowered)
-        findings = findings.unionByName(pii_findings(masked))
+        # a coalesce to more partitions than there are moves nothing; it only keeps the union from being taken
+        # for partitioned by doc_id, which without adaptive execution (in a stream's batch) it is not
+        findings = findings.coalesce(1 << 20).unionByName(pii_findings(masked).coalesce(1 << 20))
         lowered = masked.select(*lowered.columns, "redacted")
     scores = score_documents(docs, lowered, findings).withColumn("routing", route(F.col("confidence"), settings.auto_approve, settings.human_review))
     return lowered, findings, scores
