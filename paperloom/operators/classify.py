@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from paperloom.dims import DOC_TYPES, KEYWORDS
+from paperloom.functions.scalars import bind
 
 
 def keyword_scores(text: Column) -> Column:
@@ -22,11 +22,6 @@ def keyword_scores(text: Column) -> Column:
     return F.create_map(*[x for t in DOC_TYPES for x in (F.lit(t), score(t))])
 
 
-def bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with value worked out once, however often it is referred to."""
-    return F.transform(F.array(value), use)[0]
-
-
 def best_type(scores: Column) -> Column:
     """struct<doc_type, confidence>: the type with the highest score, with the margin to the second as confidence.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.functions.scalars import group, normalize_text
+from paperloom.functions.scalars import bind, group, normalize_text
 
 LINE_BREAK = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x85\u2028\u2029]"
 _KEY = r"[A-Za-z][A-Za-z0-9 .#/&()%_'\-]{0,60}?"
@@ -44,16 +44,19 @@ def category(line: Column) -> Column:
     )
 
 
-def element(line: Column, kind: Column | None = None) -> Column:
-    kind = category(line) if kind is None else kind
+def element(line: Column) -> Column:
     bare = F.regexp_replace(line, r"(?U)^\s+|\s+$", "")
-    is_pair = kind == "KeyValue"
-    return F.struct(
-        kind.alias("category"),
-        bare.alias("text"),
-        F.when(is_pair, F.btrim(group(bare, PAIR, 1))).alias("key"),
-        F.when(is_pair, F.btrim(group(bare, PAIR, 2))).alias("value"),
-    )
+
+    def build(kind: Column) -> Column:
+        is_pair = kind == "KeyValue"
+        return F.struct(
+            kind.alias("category"),
+            bare.alias("text"),
+            F.when(is_pair, F.btrim(group(bare, PAIR, 1))).alias("key"),
+            F.when(is_pair, F.btrim(group(bare, PAIR, 2))).alias("value"),
+        )
+
+    return bind(category(line), build)
 
 
 _PAIR_TYPE = "array<struct<key:string,value:string>>"
@@ -87,10 +90,13 @@ def split_pairs(line: Column) -> Column:
 def elements(text: Column) -> Column:
     """array<struct<category, text, key, value>> of a text, in order, without empty lines."""
 
+    def of_pairs(line: Column, pairs: Column) -> Column:
+        as_elements = F.transform(pairs, lambda p: F.struct(F.lit("KeyValue").alias("category"), F.concat(p["key"], F.lit(": "), p["value"]).alias("text"), p["key"].alias("key"), p["value"].alias("value")))
+        return F.when(F.size(pairs) > 0, as_elements).otherwise(F.array(element(line)))
+
     def of_line(line: Column) -> Column:
-        many = F.when(line.contains("  ") | line.contains("\t"), split_pairs(line)).otherwise(F.expr("array()").cast(_PAIR_TYPE))
-        as_elements = F.transform(many, lambda p: F.struct(F.lit("KeyValue").alias("category"), F.concat(p["key"], F.lit(": "), p["value"]).alias("text"), p["key"].alias("key"), p["value"].alias("value")))
-        return F.when(F.size(many) > 0, as_elements).otherwise(F.array(element(line)))
+        spaced = line.contains("  ") | line.contains("\t")
+        return F.when(spaced, bind(split_pairs(line), lambda pairs: of_pairs(line, pairs))).otherwise(F.array(element(line)))
 
     return F.filter(F.flatten(F.transform(lines(text), of_line)), lambda e: e["text"] != "")
 
