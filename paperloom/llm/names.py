@@ -269,31 +269,29 @@ def fullness(p: dict) -> int:
 
 
 def join_keys(p: dict) -> list[tuple[str, str, int]]:
-    """(space, key, k): the whole name, and for shorter forms the word they share with the fuller one."""
+    """(space, key, k): the whole name, and for shorter forms the word they share with the fuller one.
+
+    Whole names may differ by one slip a word, single words by one; k is 3 for keys of two words (two slips,
+    one of them a swap) and 1 for those of one. Keys of a length either could have are in both spaces.
+    """
     out: list[tuple[str, str, int]] = []
     if p["kind"] == "vendor":
-        core = [t for t in p["core"] if len(t) > 1]
-        if len(core) == len(p["core"]):
-            for key in {"".join(core), "".join(core[::-1])}:
-                out.append(("v3" if len(key) >= 11 else "v2", key, 3 if len(key) >= 11 else 2))
-                if len(key) in (11, 12, 13):
-                    out.append(("v2", key, 2))
+        if all(len(t) > 1 for t in p["core"]):
+            for key in {"".join(p["core"]), "".join(p["core"][::-1])}:
+                if len(key) <= 11:
+                    out.append(("v", key, 1))
+                if len(key) >= 10:
+                    out.append(("v", key, 3))
         if len(p["core"]) == 2:
             a, b = p["core"]
-            out += [(f"w{other[0]}", word, 2 if len(word) >= 7 else 1) for word, other in ((a, b), (b, a)) if len(word) > 1]
+            out += [(f"w{other[0]}", word, 1) for word, other in ((a, b), (b, a)) if len(word) > 1]
     else:
         full = [s for s in p["surnames"] if len(s) > 1]
         if len(full) == len(p["surnames"]):
-            out += [("p3", g + "".join(full), 3) for g in p["given"] if len(g) > 1]
+            out += [("p", g + "".join(full), 3) for g in p["given"] if len(g) > 1]
         if full:
-            out += [(f"q{g}", full[0], 2) for g in {g[0] for g in p["given"]}]
-    fixed = []
-    for space, key, k in out:
-        for kk in {k, 2} if space[0] == "w" and len(key) in (7, 8) else {k}:
-            fixed.append((f"{space}{kk}", key, kk))
-            if space[0] == "w" and len(key) in (7, 8):
-                fixed.append((f"{space}1", key, 1))
-    return list(dict.fromkeys(fixed))
+            out += [(f"q{g}", full[0], 1) for g in {g[0] for g in p["given"]}]
+    return list(dict.fromkeys(out))
 
 
 def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -75,6 +75,8 @@ def _index_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for i, (at, size) in enumerate(segments(len(key), k)):
                 if size:
                     out.append((f"{space}|{k}|{len(key)}|{i}|{key[at : at + size]}", rid))
+            if k == 1:
+                out.append((f"{space}|swap|{key}", rid))
         yield pd.DataFrame(out, columns=["gram", "left_rid"])
 
 
@@ -84,6 +86,10 @@ def _probe_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for space, key, k, rid in zip(batch["space"], batch["key"], batch["k"], batch["rid"]):
             for length, i, piece in probes(key, k, 1):
                 out.add((f"{space}|{k}|{length}|{i}|{piece}", rid))
+            if k == 1:
+                for i in range(len(key) - 1):
+                    if key[i] != key[i + 1]:
+                        out.add((f"{space}|swap|{key[:i]}{key[i + 1]}{key[i]}{key[i + 2 :]}", rid))
         yield pd.DataFrame(list(out), columns=["gram", "right_rid"])
 
 
@@ -93,7 +99,8 @@ def segment_join(keys: DataFrame) -> DataFrame:
     keys: space string (only keys of one space meet), key string, k int (the same for all keys of a
     space), rid string. A record may have several keys. Null or empty keys meet nothing.
     Every pair of one space whose keys are within k insertions, deletions and replacements is in the
-    result, in one of the two directions.
+    result, in one of the two directions. With k = 1 so are those one swap of neighbours apart: a swap is
+    two replacements, which would need shorter, less telling segments, so its variants are looked up whole.
     """
     keys = keys.where("key is not null and key <> '' and space is not null")
     index = keys.mapInPandas(_index_rows, "gram string, left_rid string").select(F.xxhash64("gram").alias("g"), "gram", "left_rid").drop("gram")
