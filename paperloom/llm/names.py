@@ -273,6 +273,8 @@ def join_keys(p: dict) -> list[tuple[str, str, int]]:
 
     Whole names may differ by one slip a word, single words by one; k is 3 for keys of two words (two slips,
     one of them a swap) and 1 for those of one. Keys of a length either could have are in both spaces.
+    Persons with a known given name meet within that name only, on their surnames: a given name thousands
+    share would make a segment that tells nothing.
     """
     out: list[tuple[str, str, int]] = []
     if p["kind"] == "vendor":
@@ -288,7 +290,15 @@ def join_keys(p: dict) -> list[tuple[str, str, int]]:
     else:
         full = [s for s in p["surnames"] if len(s) > 1]
         if len(full) == len(p["surnames"]):
-            out += [("p", g + "".join(full), 3) for g in p["given"] if len(g) > 1]
+            key = "".join(full)
+            for g in [g for g in p["given"] if len(g) > 1]:
+                if g not in GIVEN:  # an unknown name may itself hold a slip
+                    out.append((f"u{g[0]}", g + key, 3))
+                    continue
+                if len(key) <= 11:
+                    out.append((f"p{g}", key, 1))
+                if len(key) >= 10:
+                    out.append((f"p{g}", key, 3))
         if full:
             out += [(f"q{g}", full[0], 1) for g in {g[0] for g in p["given"]}]
     return list(dict.fromkeys(out))
@@ -334,8 +344,10 @@ def link_names(names: DataFrame) -> DataFrame:
     distinct = names.select("kind", "name").where("name is not null and kind is not null").distinct()
     parsed = cut(distinct.mapInPandas(_parse_batches, "kind string, name string, rid string, fullness int"))
     records = parsed.select("rid", "fullness").distinct()
-    keys = records.select("rid").mapInPandas(_key_batches, "space string, key string, k int, rid string")
-    verified = cut(segment_join(cut(keys)).mapInPandas(_verify_batches, "verdict string, a string, b string").distinct())
+    # few bytes but much work a row: an explicit number of partitions is not coalesced away
+    spread = max(names.sparkSession.sparkContext.defaultParallelism, int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keys = records.select("rid").repartition(spread, "rid").mapInPandas(_key_batches, "space string, key string, k int, rid string")
+    verified = cut(segment_join(keys).mapInPandas(_verify_batches, "verdict string, a string, b string").distinct())
 
     same = connected_components(verified.where("verdict = 'same'"))
     classes = records.join(same.withColumnRenamed("node", "rid"), "rid", "left").select("rid", F.coalesce("label", "rid").alias("class"), "fullness")
