@@ -11,6 +11,7 @@ Null, empty and placeholder names belong to nobody and get no link. Repeated nam
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import unicodedata
@@ -207,6 +208,8 @@ def _words_agree(a: list[str], b: list[str]) -> bool:
 
 def compare_companies(x: dict, y: dict) -> str:
     """'same', 'less' (x is a shorter form of y), 'more' (the reverse) or '' (not the same)."""
+    if x["legal"] and y["legal"] and x["legal"] != y["legal"] or x["trade"] and y["trade"] and not set(x["trade"]) & set(y["trade"]):
+        return ""
     less = more = False
     a, b = x["core"], y["core"]
     if not _words_agree(a, b):
@@ -221,15 +224,10 @@ def compare_companies(x: dict, y: dict) -> str:
             return ""
         less, more = any(short_a), any(short_b)
     if x["trade"] and y["trade"]:
-        if not set(x["trade"]) & set(y["trade"]):
-            return ""
         less, more = less or len(x["trade"]) > len(y["trade"]), more or len(y["trade"]) > len(x["trade"])
     elif x["trade"] or y["trade"]:
         less, more = less or not x["trade"], more or not y["trade"]
-    if x["legal"] and y["legal"]:
-        if x["legal"] != y["legal"]:
-            return ""
-    elif x["legal"] or y["legal"]:
+    if bool(x["legal"]) != bool(y["legal"]):
         less, more = less or not x["legal"], more or not y["legal"]
     return "" if less and more else "less" if less else "more" if more else "same"
 
@@ -320,11 +318,16 @@ def _key_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["space", "key", "k", "rid"])
 
 
+@functools.lru_cache(maxsize=100_000)
+def _parts(rid: str) -> dict:
+    return json.loads(rid)
+
+
 def _verify_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for a, b in zip(batch["left_rid"], batch["right_rid"]):
-            x, y = json.loads(a), json.loads(b)
+            x, y = _parts(a), _parts(b)
             if x["kind"] != y["kind"]:
                 continue
             verdict = compare_companies(x, y) if x["kind"] == "vendor" else compare_persons(x, y)
