@@ -118,7 +118,7 @@ def report_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, R.reports, "report")
 
 
-@query(_FACTS + "SELECT o_orderkey AS doc_id, 'invoice' AS doc_type, CAST(0 AS BIGINT) AS n_errors, 0.866 AS confidence, 'human_review' AS routing FROM facts")
+@query(_FACTS + "SELECT o_orderkey AS doc_id, 'invoice' AS doc_type, CAST(0 AS BIGINT) AS n_errors, CAST(0.866 AS DOUBLE) AS confidence, 'human_review' AS routing FROM facts")
 def document_confidence(spark: SparkSession, d: str) -> DataFrame:
     """All stages over rendered invoices: classified, extracted, checked, masked, scored."""
     return run(R.invoices_kv(R.order_facts(spark, d))).scores.select("doc_id", "doc_type", "n_errors", "confidence", "routing")
@@ -300,7 +300,7 @@ def encoded_files(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", decode_pdf(text, 300)["error_code"].alias("error_code"))
 
 
-@query("SELECT doc_id, CAST(length(text) AS INTEGER) AS n_text, CAST(2 AS INTEGER) AS n_pages, 0.75 AS mean_confidence FROM (SELECT doc_id, upper(source) || chr(10) || chr(10) || lang AS text FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL)")
+@query("SELECT doc_id, CAST(length(text) AS INTEGER) AS n_text, CAST(2 AS INTEGER) AS n_pages, CAST(0.75 AS DOUBLE) AS mean_confidence FROM (SELECT doc_id, upper(source) || chr(10) || chr(10) || lang AS text FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL)")
 def document_pages(spark: SparkSession, d: str) -> DataFrame:
     page = lambda n, t, c: F.struct(F.lit(n).alias("number"), t.alias("text"), F.lit(c).alias("confidence"))
     docs = table(spark, d, "documents").where("source is not null and lang is not null").select("doc_id", F.array(page(1, F.upper("source"), 1.0), page(2, F.col("lang"), 0.5)).alias("pages"))
@@ -414,7 +414,7 @@ _GRADED = """WITH c AS (
 _PRF = "round(coalesce(sum(tp) / nullif(sum(tp) + sum(fp), 0), 0), 4) AS precision, round(coalesce(sum(tp) / nullif(sum(tp) + sum(fn), 0), 0), 4) AS recall, round(coalesce(2 * sum(tp) / nullif(2 * sum(tp) + sum(fp) + sum(fn), 0), 0), 4) AS f1"
 
 
-@query(_GRADED + f"SELECT name, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, {_PRF} FROM c GROUP BY GROUPING SETS ((name), ())")
+@query(_GRADED + f"SELECT name, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, {_PRF} FROM c GROUP BY GROUPING SETS ((name), ())")
 def field_prf(spark: SparkSession, d: str) -> DataFrame:
     return M.with_prf(M.sum_counts(M.field_counts(*_graded(spark, d)), [["name"], []], ["name"])).drop("grouping")
 
@@ -452,7 +452,7 @@ _CLEAN = "trim(lower(trim(regexp_replace({}, '\\s+', ' ', 'g'))), ' .,:;-_\"''()
 _PAIRS = f"WITH p AS (SELECT DISTINCT case_id AS doc_id, {_CLEAN.format('pair[1]')} AS q, {_CLEAN.format('pair[2]')} AS a FROM (SELECT case_id, unnest(pairs) AS pair FROM (SELECT DISTINCT case_id, pairs FROM eval_cases WHERE pairs IS NOT NULL))) "
 
 
-@query(_PAIRS + "SELECT doc_id, sum(CASE WHEN length(q) % 2 = 0 THEN 1 ELSE 0 END) AS tp, CAST(0 AS BIGINT) AS fp, sum(CASE WHEN length(q) % 2 = 1 THEN 1 ELSE 0 END) AS fn FROM p WHERE q IS NOT NULL AND a IS NOT NULL GROUP BY doc_id")
+@query(_PAIRS + "SELECT doc_id, CAST(sum(CASE WHEN length(q) % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS tp, CAST(0 AS BIGINT) AS fp, CAST(sum(CASE WHEN length(q) % 2 = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fn FROM p WHERE q IS NOT NULL AND a IS NOT NULL GROUP BY doc_id")
 def pair_prf(spark: SparkSession, d: str) -> DataFrame:
     """Predicted are the pairs whose question has an even length, in capitals."""
     truth = _pairs(spark, d).where("question is not null and answer is not null")
@@ -531,7 +531,7 @@ def routing_by_type(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "processed_documents").groupBy("document_type", "routing").agg(F.count("*").alias("n"))
 
 
-@query("SELECT pipeline_used, sum(input_tokens) AS input_tokens, sum(output_tokens) AS output_tokens, count(*) AS n FROM processed_documents GROUP BY pipeline_used")
+@query("SELECT pipeline_used, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, count(*) AS n FROM processed_documents GROUP BY pipeline_used")
 def usage_totals(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "processed_documents").groupBy("pipeline_used").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.count("*").alias("n"))
 
