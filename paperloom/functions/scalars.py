@@ -54,6 +54,7 @@ def normalize_date(value: Column, day_first: bool = True) -> Column:
     yyyy and d Month yyyy. One of the first two forms that is no date gives null at once; an unknown month
     name goes on to the next form.
     """
+    # Patterns of the four forms.
     iso = r"(?U)\b(\d{4})-(\d{2})-(\d{2})\b"
     numbers = r"(?U)\b(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})\b"
     month_day = r"(?U)\b([A-Za-z]{3,10})\.?\s+(\d{1,2}),?\s+(\d{4})\b"
@@ -69,6 +70,7 @@ def normalize_date(value: Column, day_first: bool = True) -> Column:
     )
 
 
+# Patterns of amounts.
 AMOUNT = r"(?U)(-?)\s*\$?\s*(-?)(\d{1,3}(?:[.,]\d{3})*|\d+)(?:[.,](\d{1,2}))?"
 #: The same, but a plain run of digits is read whole.
 AMOUNT_WHOLE = r"(?U)(-?)\s*\$?\s*(-?)(\d{1,3}(?:[.,]\d{3})+(?!\d)|\d+)(?:[.,](\d{1,2})(?!\d))?"
@@ -109,6 +111,7 @@ def nit_check_digit(base: Column) -> Column:
     return F.when(base.rlike(r"^\d{1,15}$"), F.when(rest < 2, rest).otherwise(11 - rest))
 
 
+# Fixed value: a NIT without dots and spaces.
 NIT = r"^(\d{6,10})[-\s]?(\d)$"
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.scalars import bind, group, normalize_text
 
+# Patterns of lines, keys, pairs, list items and columns.
 LINE_BREAK = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x85\u2028\u2029]"
 _KEY = r"[A-Za-z][A-Za-z0-9 .#/&()%_'\-]{0,60}?"
 PAIR = rf"(?U)^\s*(?:\d{{1,2}}[.)]\s+)?({_KEY})\s*[:：]\s*(\S.*?)\s*$"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from paperloom.dims import DATE_FIELDS, FIELD_COST, FIELDS, NUMERIC_FIELDS, PII, REQUIRED, SAFE_FIELDS
 from paperloom.functions.scalars import is_valid_nit, looks_like_nit, mask_pii
 
+# Patterns of identifiers and dates.
 GENERIC_TAX_ID = r"(?i)^[A-Z0-9][A-Z0-9.\-/ ]{4,24}$"
 ISO_DATE = r"^\d{4}-\d{2}-\d{2}$"
 
