@@ -11,7 +11,7 @@ from paperloom.operators import forms as G
 from paperloom.operators import metrics as M
 from paperloom.operators.classify import best_type, keyword_scores
 from paperloom.operators.extract import extract_fields, fields_from_answer
-from paperloom.operators.layout import category, explode_elements, key_values, elements, lines
+from paperloom.operators.layout import explode_elements, key_values, elements
 from paperloom.operators.score import input_path, is_scanned, needs_reprocessing, route, score_documents
 from paperloom.operators.tables import grid_to_table, n_cells
 from paperloom.operators.validate import judge_verdict, missing_required, penalize_fields, validate_fields
@@ -236,10 +236,9 @@ _CATEGORY = rf"""CASE WHEN t = '' THEN 'Other'
 
 @query(rf"SELECT category, count(*) AS n FROM (SELECT {_CATEGORY} AS category FROM (SELECT trim(line) AS t FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM (SELECT DISTINCT case_id, text FROM eval_cases WHERE text IS NOT NULL)) WHERE NOT regexp_matches(line, '  |\t'))) WHERE category <> 'Other' GROUP BY category")
 def layout_categories(spark: SparkSession, d: str) -> DataFrame:
-    """Categories of the lines with no run of spaces in them."""
-    rows = table(spark, d, "eval_cases").where("text is not null").select("case_id", "text").distinct().select(F.explode(lines(F.col("text"))).alias("line"))
-    plain = rows.where(~F.col("line").rlike("  |\t"))
-    return plain.select(category(F.col("line")).alias("category")).where("category <> 'Other'").groupBy("category").agg(F.count("*").alias("n"))
+    """Categories of all elements, as the pipeline reads them; a line of several pairs counts once a pair."""
+    texts = table(spark, d, "eval_cases").where("text is not null").select(F.col("case_id").alias("doc_id"), "text").distinct()
+    return explode_elements(texts).groupBy("category").agg(F.count("*").alias("n"))
 
 
 @query("SELECT o_orderkey AS doc_id, CAST(p AS INTEGER) AS pos, k AS key, v AS value FROM (SELECT o_orderkey, unnest([0, 1, 2]) AS p, unnest(['To', 'Order', 'Date']) AS k, unnest(['Mr. Smith', CAST(o_orderkey AS VARCHAR), strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d')]) AS v FROM orders)")

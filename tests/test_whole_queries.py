@@ -28,3 +28,10 @@ def test_invoice_blocks_with_short_numbers_are_read(spark, orders_dir):
     rows = QUERIES["invoice_roundtrip_block"](spark, orders_dir).collect()
     assert {r.doc_id: r.value for r in rows if r.name == "invoice_number"} == {k: f"INV-{k}-X" for k in range(12)}
     assert len(rows) == 120
+
+
+def test_layout_categories_counts_lines_with_columns_and_several_pairs(spark, tmp_path):
+    text = "INVOICE\nItem  2  3.00\nItem\t2\t3.00\nTo:  Mr. Smith  Date:  9/3/92\n\nEnd: x"
+    spark.createDataFrame([("a", text), ("a", text), ("b", None), ("c", "")], "case_id string, text string").write.parquet(f"{tmp_path}/eval_cases.parquet")
+    got = {r.category: r.n for r in QUERIES["layout_categories"](spark, str(tmp_path)).collect()}
+    assert got == {"Title": 1, "Table": 2, "KeyValue": 3}
