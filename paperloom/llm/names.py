@@ -62,6 +62,9 @@ LEGAL = {
 }
 CONNECTORS = frozenset(["and", "y", "und", "et", "e", "&", "+"])
 
+# Words that belong to the surname they precede.
+PARTICLES = frozenset("de del dela la las los le da das do dos di della du des van von der den ter ten zu zum zur".split())
+
 PLACEHOLDERS = frozenset(
     "n/a na n.a. none null unknown s/n sn n/d nd tbd ??? ? - -- . x xx xxx (illegible) illegible unleserlich desconocido ilegible unbekannt anonymous various varios pending test".split()
 )
@@ -151,6 +154,17 @@ def parse_company(name: str) -> dict | None:
     return {"kind": "vendor", "core": core, "trade": sorted(trade), "legal": legal} if core else None
 
 
+def attach_particles(words: list[str]) -> list[str]:
+    """The words with each particle written together with the word it precedes; one at the end stays."""
+    out, held = [], ""
+    for w in words:
+        held += w
+        if w not in PARTICLES:
+            out.append(held)
+            held = ""
+    return out + [held] * bool(held)
+
+
 def parse_person(name: str) -> dict | None:
     """given names (several for an ambiguous short form), or their initial; middle initial; surnames."""
     text = fold(name)
@@ -184,11 +198,11 @@ def parse_person(name: str) -> dict | None:
     middle = [m for m in middle if m]
     if middle and len(middle[0]) > 1:
         surnames, middle = surnames + middle, []
-    surnames = [s for s in surnames if s]
+    surnames = attach_particles([s for s in surnames if s])
     if not surnames:
         return None
     names = [given] if len(given) == 1 else given_names(given) or [given]
-    return {"kind": "submitter", "given": sorted(names), "middle": middle[0] if middle else "", "surnames": surnames[:3]}
+    return {"kind": "submitter", "given": sorted(names), "middle": middle[0] if middle else "", "surnames": surnames}
 
 
 def _near(a: str, b: str, k: int = 1) -> bool:
