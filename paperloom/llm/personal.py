@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.boosting import BoostedTrees
-from paperloom.llm.names import _NICKS, LEGAL, TITLES, TRADES, fold, given_names, trades_of
+from paperloom.llm.names import _NICKS, LEGAL, PARTICLES, TITLES, TRADES, fold, given_names, trades_of
 
 KINDS = ("person", "email", "phone", "id_number", "iban", "credit_card", "address")
 TRAINING_TEXTS = 6000
@@ -53,6 +53,15 @@ STOPWORDS = frozenset(
     address account card id under vigente identificacion applicant invoice author date loyalty cashier charged checked via neighbour""".split()
 )
 
+# Capitalised words of documents, departments and places; a run that holds one is seldom a name.
+NOT_NAMES = frozenset(
+    """agreement annual application bank branch compras contract control department desk due executive facilities factura field finance fiscal form governing
+    human identificacion invoice lago law legal lower maintenance neu no norte north office operations order page payment port procurement project purchase
+    quality receipt recibo rechnung report research resources review safety sales san santa security services shipping site south stamp state statement storage
+    summary support tesoreria terms total toner unit upper villa warehouse cop eur gbp mxn usd ssn dni nie iban nit reisepass passport pasaporte ausweis
+    holdings group house hotel bakery books apotheke january february march april may june july august september october november december""".split()
+)
+
 # Street words by language.
 _EN_STREET = r"(?:Street|St\.?|Avenue|Ave\.?|Boulevard|Blvd\.?|Road|Rd\.?|Lane|Ln\.?|Court|Ct\.?|Drive|Way|Place|Square|Terrace|Close|Crescent|Parkway)"
 _FR_STREET = r"(?:rue|avenue|boulevard|chemin|impasse|quai|allée|cours|place)"
@@ -194,6 +203,59 @@ def _persons(text: str, tokens: list[tuple[int, int, str]]) -> Iterator[tuple[in
                 yield tokens[first][0], stop, "surname initial"
 
 
+def _runs(text: str, tokens: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str]]:
+    """Spans that may be a person whatever the given name: runs of capitalised words, and lower-case words after a cue."""
+    n = len(tokens)
+    folded = [fold(t[2]) for t in tokens]
+    gap = lambda i: text[tokens[i][1] : tokens[i + 1][0]] if i + 1 < n else "\n"
+    plain = [f not in STOPWORDS and f not in TITLES and re.sub("['’]", "", f).isalpha() for f in folded]
+    capital = [bool(_case(t[2])) and p for t, p in zip(tokens, plain)]
+    joined = lambda i: gap(i) in (" ", "-") or (gap(i) == ". " and len(tokens[i][2]) == 1)
+    stop = lambda i: tokens[i][1] + (len(tokens[i][2]) == 1 and text[tokens[i][1] : tokens[i][1] + 1] == ".")
+
+    def following(i: int) -> int:
+        """The next word of the run token i is in, past particles; -1 at its end."""
+        k = i
+        while joined(k) and k + 1 < n:
+            k += 1
+            if capital[k]:
+                return k
+            if folded[k] not in PARTICLES or k > i + 3:
+                return -1
+        return -1
+
+    def cued(i: int) -> bool:
+        """Whether a person cue, and perhaps a title, stands right before token i."""
+        while i and folded[i - 1] in TITLES and gap(i - 1) in (" ", ". "):
+            i -= 1
+        return i > 0 and "person" in _CUE_OF.get(folded[i - 1], ()) and gap(i - 1).strip(" ") in ("", ":", ".")
+
+    for a in range(n):
+        if capital[a]:
+            b, words = a, 1
+            while words <= 5:
+                given = b + 1
+                if words <= 3 and len(tokens[b][2]) > 1 and gap(b) == ", " and given < n and capital[given]:
+                    yield tokens[a][0], stop(given), "run comma"
+                    if joined(given) and given + 1 < n and capital[given + 1]:
+                        yield tokens[a][0], stop(given + 1), "run comma"
+                if (b := following(b)) < 0:
+                    break
+                words += 1
+                if words <= 5 and any(len(t[2]) > 2 for t in tokens[a : b + 1]):
+                    yield tokens[a][0], stop(b), "run"
+        elif plain[a] and cued(a):
+            b, words = a, 1
+            while words < 3 and joined(b) and b + 1 < n and plain[b + 1] and not capital[b + 1]:
+                b, words = b + 1, words + 1
+                if len(tokens[b][2]) > 1:
+                    yield tokens[a][0], tokens[b][1], "cue"
+
+
+PERSON_FORMS = ("given first", "surname comma", "surname first", "initial", "surname initial", "run", "run comma", "cue")
+FIRST_RUN = PERSON_FORMS.index("run")
+
+
 def propose(text: str) -> list[tuple[int, int, str, int]]:
     """All candidate spans: (start, end, kind, number of the generator)."""
     out: list[tuple[int, int, str, int]] = []
@@ -218,8 +280,9 @@ def propose(text: str) -> list[tuple[int, int, str, int]]:
         if 7 <= sum(c.isdigit() for c in m[0]) <= 15:
             out.append((m.start() + (m[0][0] == "(" and ")" not in m[0]), m.end(), "phone", 0))
     tokens = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(text)]
-    forms = ("given first", "surname comma", "surname first", "initial", "surname initial")
-    out += [(a, b, "person", forms.index(form)) for a, b, form in _persons(text, tokens)]
+    known = [(a, b, "person", PERSON_FORMS.index(form)) for a, b, form in _persons(text, tokens)]
+    spans = {c[:2] for c in known}
+    out += known + [(a, b, "person", PERSON_FORMS.index(form)) for a, b, form in _runs(text, tokens) if (a, b) not in spans]
     return [c for c in dict.fromkeys(out) if not any(a < c[1] and c[0] < b for a, b in masked)]
 
 
@@ -280,6 +343,9 @@ def features(text: str, start: int, end: int, kind: str, generator: int) -> list
         bool(last_left and text[start - 1 : start] == " " and last_left[-1][:1].isupper() and not text[:start].rstrip(" ").endswith((":", "."))),
         bool(right and right[0] in {"cartons", "lines", "extra", "brackets", "each", "months"}),
         text[max(0, start - 2) : start].rstrip(" ")[-1:] == ":",
+        _lexicon(words[0]) if kind == "person" and words else 0,
+        sum(fold(w) in NOT_NAMES for w in words) if kind == "person" else 0,
+        bool(right) and kind == "person" and right[0] in NOT_NAMES,
     ]
     return [float(v) for v in values]
 
@@ -294,10 +360,12 @@ class Redactor:
         labels: dict[str, list[bool]] = {k: [] for k in KINDS}
         held: dict[str, list[bool]] = {k: [] for k in KINDS}
         for number, (text, truth) in enumerate(labelled_texts(training_texts, seed)):
-            true = {(s, k) for s, _, k in truth}
+            true, whole = {(s, k) for s, _, k in truth}, set(truth)
             for start, end, kind, generator in propose(text):
                 rows[kind].append(features(text, start, end, kind, generator))
-                labels[kind].append((start, kind) in true)
+                # of a run's many ends only the right one counts
+                by_run = kind == "person" and generator >= FIRST_RUN
+                labels[kind].append((start, end, kind) in whole if by_run else (start, kind) in true)
                 held[kind].append(number % 4 == 3)
         self.trees: dict[str, BoostedTrees] = {}
         self.thresholds: dict[str, float] = {}

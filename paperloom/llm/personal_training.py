@@ -22,6 +22,8 @@ Address: {address}|Employee lives at {address}, mail {email}.|El solicitante viv
 {person} <{email}>|{person} / {phone}|Emergency contact {person}, {phone}, {email}.|Enviar copia a {email} antes del {date}.|Remit advice to {email}.|Contactar a {person} al {phone} por el saldo de {money}.|Bitte an {person} weiterleiten, Tel. {phone}.|Cashier asked for {phone}|{person}|{address}|{phone}|Dear {person},|by telephone ({phone}).|Limit  {amount}
 Deliver with {ref}; {n} @ {amount} each.|Counted {n} x {parts} brackets, {ref}.|Duplicate of {ref}, do not pay.|Payment matched against {ref} on {date}.|Price changed to {money} per the annex dated {date}.|Se recibió el pedido {ref} por {money}.|Rechnung {ref} über {money} geprüft.|Case ref: {ref}|Ref: {ref}
 {company} asked {dept} for {n} extra copies.|{company} shipped {n} cartons; freight {money}.|Batch closed by {dept}, {n} lines open.|Approved without comment.|Stamp illegible, second scan requested.|{company}, {ref}|{company}|NIT: {nit}|Tax ID {nit}|This agreement is made on {date} between {company} and {company}.|Governing Law: State of {place}.|Total: {amount}|Subtotal: {amount}|{place}|Invoice No: INV-{n}|Invoice Date: {date}|Fees of {money}.|Term: {n} months.|Department: {dept}|{item}  {n}  {amount}|Factura No: FV-{n}|Form No: F-{n}|This invoice {ref} of {date} asks for {money} in total, tax of {amount} included.
+SERVICES AGREEMENT|Contract No: MSA-{n}|RECEIPT R-{n}|APPLICATION FORM|Form No  F-{n}|TOTAL {money}|Total Due: {amount}|Annual Report|Executive Summary|Payment Terms: Net {n}|{dept}|{item}|Purchase Order {ref}|Approved by {dept}.|Contact {dept} before {date}.|{dept}, {place}|{place}, {date}|{company}, {place}
+Sent to night shift on {date}.|Approved for late delivery.|Prepared by the team in {place}.|{company} {ref}|Vendor: {company}|Delivered to {place} on {date}.|Submitted by: {company}|Customer: {company}|Bill To: {company}
 {masked} lives at {address}.|Emergency contact {masked}, {phone}.|Applicant's {masked2} was checked by {dept}.|Pay into {masked3} quoting {ref}.
 """
 
@@ -48,21 +50,28 @@ class _Writer:
     def word(self) -> str:
         if self.r.random() < 0.2:
             return self.r.choice(FAMILY)
+        return self.made_up()
+
+    def made_up(self) -> str:
         return ("".join(self.r.choice(_SYLLABLES) for _ in range(self.r.choice((2, 2, 3, 3)))) + self.r.choice(_ENDINGS)).capitalize()
 
     def person(self) -> tuple[str, int]:
         r = self.r
-        given = (r.choice(self.given) if r.random() < 0.85 else r.choice(self.short)).capitalize()
-        if r.random() < 0.07:
+        known = r.random() < 0.75
+        # a made-up given name stands for all those outside the list; hardly one comes twice
+        given = (r.choice(self.given) if r.random() < 0.85 else r.choice(self.short)).capitalize() if known else self.made_up()
+        if known and r.random() < 0.07:
             at = r.randrange(1, len(given))
             given = given[:at] + given[at - 1] + given[at:] if r.random() < 0.5 else given[:at] + given[at + 1 :]
+        if r.random() < 0.1:
+            given += " " + (r.choice(self.given).capitalize() if r.random() < 0.6 else self.made_up())
         middle = f" {r.choice('ABCDEFGHJKLMNPRSTUVWXYZ')}." if r.random() < 0.3 else ""
         family = self.word() + (r.choice((" ", " ", " ", "-")) + self.word() if r.random() < 0.5 else "")
         form = r.random()
         if form < 0.6:
             name = f"{given}{middle} {family}"
         elif form < 0.75:
-            name = f"{given[0]}.{middle} {family}"
+            name = f"{given[0]}{r.choice(('.', '.', '.', '.', '')) if not middle else '.'}{middle} {family}"
         elif form < 0.88:
             name = f"{family}, {given}{middle}"
         elif form < 0.92:
@@ -70,7 +79,7 @@ class _Writer:
         else:
             name = f"{family} {given}{middle}"
         dress = r.random()
-        name = name.upper() if dress < 0.12 else name.lower() if dress < 0.24 else name
+        name = name.upper() if dress < 0.12 else name.lower() if dress < (0.24 if known else 0.36) else name
         title = r.choice(("Mr ", "Ms. ", "Dr. ", "Sra. ", "Ing. ", "Herr ", "Prof. ")) if r.random() < 0.1 else ""
         return title + name, len(title)
 
