@@ -140,8 +140,11 @@ def spellings(field: str, canonical: str, description: str | None) -> list[str]:
 
 
 def threshold(word: str) -> int:
-    """Edits allowed: none up to 2 characters, 2 (a swap) from 4 on, 3 from 16 on."""
-    return 0 if len(word) <= 2 else 1 if len(word) == 3 else 2 if len(word) < 16 else 3
+    """Edits within which every spelling lies that `meant` may accept: two for each slip, as a swap is two edits.
+
+    Two slips need a spelling of 10 letters, which is at most two letters longer than the word.
+    """
+    return 0 if len(word) <= 2 else 2 if len(word) < 8 else 4
 
 
 def _slips(word: str, spelling: str) -> int:

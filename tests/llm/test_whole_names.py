@@ -1,5 +1,6 @@
 """Names and values are compared whole."""
 
+from paperloom.llm.canonical import find, grow
 from paperloom.llm.names import compare_persons, link_names, name_pairs, parse_person
 
 
@@ -17,3 +18,10 @@ def test_relatives_with_long_surnames_stay_apart(spark):
     names = ["Juan de la Cruz Perez", "Juan de la Cruz Gomez", "De la Cruz Perez, Juan"]
     pairs = {(r.name_a, r.name_b) for r in name_pairs(link_names(spark.createDataFrame([("submitter", n) for n in names], "kind string, name string"))).collect()}
     assert pairs == {("De la Cruz Perez, Juan", "Juan de la Cruz Perez")}
+
+
+def test_two_slips_may_both_be_swaps():
+    entries = [(1, "payment_method", "cash", None), (3, "payment_method", "transfer", None)]
+    for value in ("bakn tranfer", "bakn trasnfer", "transferecnia bancraia", "Bank transfer"):
+        assert find(*grow(entries), "payment_method", value)[0] == 3, value
+    assert find(*grow(entries), "payment_method", "cahs")[0] == 1 and find(*grow(entries), "payment_method", "bakn tarnfer")[0] == 0
