@@ -4,6 +4,10 @@ import datetime
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from paperloom.llm import mixing
+from paperloom.llm.queries import p9_found
 from paperloom.plans.reference_queries import QUERIES
 
 
@@ -35,3 +39,13 @@ def test_layout_categories_counts_lines_with_columns_and_several_pairs(spark, tm
     spark.createDataFrame([("a", text), ("a", text), ("b", None), ("c", "")], "case_id string, text string").write.parquet(f"{tmp_path}/eval_cases.parquet")
     got = {r.category: r.n for r in QUERIES["layout_categories"](spark, str(tmp_path)).collect()}
     assert got == {"Title": 1, "Table": 2, "KeyValue": 3}
+
+
+def test_p9_found_runs_the_mixing(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "a", "some words here"), (2, "b", "more")], "doc_id int, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("a", 0.5, 1), ("b", 0.9, 1)], "source_name string, target_share double, max_repeats int").write.parquet(f"{tmp_path}/mix_targets.parquet")
+    assert [r.source_name for r in p9_found(spark, str(tmp_path)).collect()] == ["b"]
+    drawn = lambda *_: spark.range(1).select(F.raise_error(F.lit("drawn")).cast("bigint").alias("shard"), F.lit("a").alias("source"), F.lit(0).cast("bigint").alias("block"), F.raise_error(F.lit("drawn")).cast("int").alias("repeat"))
+    monkeypatch.setattr(mixing, "draw_slots", lambda *a: drawn().where("repeat >= 0"))
+    with pytest.raises(Exception, match="drawn"):
+        p9_found(spark, str(tmp_path)).collect()
