@@ -13,6 +13,18 @@ from paperloom.functions.scalars import is_valid_nit, looks_like_nit, mask_pii
 # Patterns of identifiers and dates.
 GENERIC_TAX_ID = r"(?i)^[A-Z0-9][A-Z0-9.\-/ ]{4,24}$"
 ISO_DATE = r"^\d{4}-\d{2}-\d{2}$"
+ISO_WEEK = r"^(?:(\d{4})-W(\d{2})(?:-(\d))?|(\d{4})W(\d{2})(\d)?)$"
+
+
+def compared_date(text: Column) -> Column:
+    """The date of an ISO 8601 text without a time (yyyy-mm-dd, yyyymmdd, yyyy-Www[-d], yyyyWww[d]); null for any other form."""
+    part = lambda i: F.nullif(F.coalesce(F.nullif(F.regexp_extract(text, ISO_WEEK, i), F.lit("")), F.regexp_extract(text, ISO_WEEK, i + 3)), F.lit("")).cast("int")
+    year, week, weekday = part(1), part(2), F.coalesce(part(3), F.lit(1))
+    fourth = F.make_date(year, F.lit(1), F.lit(4))
+    monday = F.date_add(fourth, (week - 1) * 7 - F.weekday(fourth))
+    by_week = F.when((week >= 1) & (F.weekofyear(monday) == week) & weekday.between(1, 7), F.date_add(monday, weekday - 1))
+    plain = F.when(text.rlike(r"^\d{8}$"), F.concat_ws("-", text.substr(1, 4), text.substr(5, 2), text.substr(7, 2))).when(text.rlike(ISO_DATE), text)
+    return F.coalesce(plain.try_cast("date"), F.when(text.rlike(ISO_WEEK), by_week))
 
 
 def _finding(when: Column, seq: int, severity: str, code: str, field: str | None, details: dict[str, Column] | None = None) -> Column:
@@ -50,7 +62,7 @@ def _checks() -> list[Column]:
     add(tax_id.isNotNull() & ~looks_like_nit(tax_id) & ~tax_id.rlike(GENERIC_TAX_ID), "warn", "implausible_tax_id", "vendor_tax_id", {"value": tax_id})
     expected = F.round(n("subtotal") + n("tax"), 2)
     add((kind == "invoice") & (F.abs(expected - n("total")) > 0.05), "error", "math_mismatch", "total", {"expected": expected, "got": n("total")})
-    issue, due = s("issue_date").try_cast("date"), s("due_date").try_cast("date")
+    issue, due = compared_date(s("issue_date")), compared_date(s("due_date"))
     add((kind == "invoice") & (due < issue), "error", "due_before_issue", "due_date", {"issue_date": s("issue_date"), "due_date": s("due_date")})
     add((kind == "contract") & ((n("term_months") <= 0) | (n("term_months") > 600)), "warn", "implausible_term", "term_months", {"term_months": n("term_months")})
     return out
