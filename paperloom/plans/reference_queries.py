@@ -305,6 +305,32 @@ def document_pages(spark: SparkSession, d: str) -> DataFrame:
     return docs.withColumns(document_columns(F.col("pages"))).select("doc_id", F.length("text").alias("n_text"), "n_pages", "mean_confidence")
 
 
+@query()
+def document_pii_masked(spark: SparkSession, d: str) -> DataFrame:
+    """The long texts with personal data masked, and the counts of all kinds."""
+    return S.mask_pii(table(spark, d, "documents").select("doc_id", "text"), "text", "masked").drop("text")
+
+
+@query()
+def document_pii_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of all kinds of personal data in the long texts."""
+    return S.mask_pii(table(spark, d, "documents").select("doc_id", "text"), "text", "masked").drop("text", "masked")
+
+
+@query()
+def document_text_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Every text as pages cut at its form feeds, read as a document; a null text has no page."""
+    pages = F.transform(F.split("text", "\f"), lambda t, i: F.struct((i + 1).cast("int").alias("number"), t.alias("text"), F.lit(1.0).alias("confidence")))
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce(pages, F.slice(F.array(F.struct(F.lit(1).alias("number"), F.lit("").alias("text"), F.lit(1.0).alias("confidence"))), 1, 0)).alias("pages"))
+    return docs.withColumns(document_columns(F.col("pages"))).select("doc_id", F.length("text").alias("n_text"), "n_pages", "mean_confidence")
+
+
+@query()
+def document_scores(spark: SparkSession, d: str) -> DataFrame:
+    """All stages over the long texts."""
+    return run(table(spark, d, "documents").select("doc_id", "text")).scores
+
+
 # --- validation ------------------------------------------------------------------------------------
 
 

@@ -60,3 +60,14 @@ def test_p9_found_runs_the_mixing(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(mixing, "draw_slots", lambda *a: drawn().where("repeat >= 0"))
     with pytest.raises(Exception, match="drawn"):
         p9_found(spark, str(tmp_path)).collect()
+
+
+def test_long_texts_go_through_masking_pages_and_pipeline(spark, tmp_path):
+    long = "Invoice No: 7\n" + "word " * 8000 + "\f mail a.b@c.com, card 4242 4242 4242 4242"
+    spark.createDataFrame([(1, long, None, None), (2, None, "x", "en"), (3, "", "x", None)], "doc_id int, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = lambda name: {r.doc_id: r for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    masked, counts, pages, scores = map(rows, ("document_pii_masked", "document_pii_counts", "document_text_pages", "document_scores"))
+    assert masked[1].masked.endswith("mail [REDACTED:email], card [REDACTED:credit_card]") and set(masked) == {1, 2, 3}
+    assert (counts[1].n_email, counts[1].n_credit_card, counts[1].n_iban) == (1, 1, 0)
+    assert pages[1].n_pages == 2 and pages[1].n_text > 40_000 and set(pages) == {1, 2, 3}
+    assert set(scores) == {1} and scores[1].doc_type == "invoice"
