@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from paperloom.dims import CURRENCY_CODES, CURRENCY_SIGNS, DATE_FIELDS, INTEGER_FIELDS, CONTAINMENT_FIELDS, MONTH_NAMES, NIT_WEIGHTS, NUMERIC_FIELDS, PII
+from paperloom.dims import CURRENCY_CODES, CURRENCY_SIGNS, DATE_FIELDS, INTEGER_FIELDS, CONTAINMENT_FIELDS, MONTH_NAMES, NIT_WEIGHTS, NUMERIC_FIELDS, PII, PII_ORDER
 
 SPACES = r"(?U)\s+"
 TRIMMED = " .,:;-_\"'()"
@@ -43,7 +43,7 @@ def iso_date(year: Column, month: Column, day: Column) -> Column:
 
 
 def month_number(name: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for pair in MONTH_NAMES.items() for x in pair])
+    table = F.create_map(*[F.lit(x) for number, names in enumerate(MONTH_NAMES, 1) for name in names for x in (name, number)])
     return F.try_element_at(table, F.lower(name))
 
 
@@ -94,9 +94,9 @@ def normalize_amount(value: Column, compat: bool = True) -> Column:
 def currency_in_text(text: Column) -> Column:
     """The first currency code in the text, else that of the first sign (in the order $, €, £) in it."""
     out = F.when(F.lit(False), "")
-    for sign, code in CURRENCY_SIGNS:
+    for sign, code in CURRENCY_SIGNS.items():
         out = out.when(text.contains(sign), code)
-    return F.coalesce(group(text, rf"(?U)\b({CURRENCY_CODES})\b"), out)
+    return F.coalesce(group(text, rf"(?U)\b({'|'.join(CURRENCY_CODES)})\b"), out)
 
 
 def _digits(text: Column) -> Column:
@@ -145,7 +145,7 @@ def _mask_where(text: Column, pattern: str, kind: str, keep) -> tuple[Column, Co
 
 def mask_step(text: Column, kind: str) -> tuple[Column, Column]:
     """(text with one kind of personal data masked, number of masks)."""
-    pattern = PII[kind]
+    pattern = "(?U)" + PII[kind] if kind != "email" else PII[kind]
     if kind == "credit_card":
         return _mask_where(text, pattern, kind, lambda d: F.length(d).between(13, 16) & luhn_ok(d))
     if kind == "phone":
@@ -156,11 +156,11 @@ def mask_step(text: Column, kind: str) -> tuple[Column, Column]:
 def mask_pii(df, text_col: str, out_col: str):
     """df with out_col (masked text) and a column n_<kind> for each kind; one projection a kind, no UDF."""
     current = F.col(text_col)
-    for kind in PII:
+    for kind in PII_ORDER:
         masked, count = mask_step(current, kind)
         df = df.withColumns({f"n_{kind}": F.coalesce(count, F.lit(0)), f"__{kind}": masked})
         current = F.col(f"__{kind}")
-    return df.withColumn(out_col, current).drop(*[f"__{k}" for k in PII])
+    return df.withColumn(out_col, current).drop(*[f"__{k}" for k in PII_ORDER])
 
 
 def json_object(text: Column) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from paperloom.dims import DOC_TYPES, KEYWORDS
+from paperloom.dims import DOC_TYPES, KEYWORDS, MAX_HITS
 from paperloom.functions.scalars import bind
 
 
@@ -16,7 +16,7 @@ def keyword_scores(text: Column) -> Column:
     low = F.lower(F.coalesce(text, F.lit("")))
 
     def score(doc_type: str) -> Column:
-        hits = [F.least(F.regexp_count(low, F.lit(rf"(?U)\b{p}" + ("" if p.endswith("*") else r"\b"))), F.lit(3)) * F.lit(w) for p, w in KEYWORDS[doc_type]]
+        hits = [F.least(F.regexp_count(low, F.lit("(?U)" + p)), F.lit(MAX_HITS)) * F.lit(w) for p, w in KEYWORDS[doc_type]]
         return F.round(reduce(lambda a, b: a + b, hits), 3)
 
     return F.create_map(*[x for t in DOC_TYPES for x in (F.lit(t), score(t))])

@@ -1,7 +1,9 @@
 """Connected components by alternating large-star and small-star steps.
 
 Each step is a grouped minimum plus a join, so no neighbour list is ever gathered and a hub with a
-third of all edges costs no more than its share of a partial aggregation.
+third of all edges costs no more than its share of a partial aggregation. The steps end by themselves:
+each either lowers an edge's end or leaves all as they are, and the rounds grow with the logarithm of the
+longest path.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from paperloom.session import cut
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label) for every node that occurs in an edge; label is the least node of its component.
 
     Null ends and loops are ignored; repeated edges count once; an empty input gives an empty result.
@@ -25,7 +27,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     )
     pairs = cut(pairs)
     mark = _fingerprint(pairs)
-    for _ in range(max_rounds):
+    while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -42,8 +44,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         if now == mark:
             break
         mark = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("label"))
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots).distinct()
 

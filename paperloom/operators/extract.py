@@ -19,8 +19,8 @@ from paperloom.operators.layout import elements, key_values
 
 # Patterns of the rules.
 TERM = r"(?iu)(\d{1,3})\s*(months?|meses|years?|años?)"
-YEAR = r"((?:19|20)\d{2})"
-ID_LIKE = r"(?i)([A-Z]{0,5}[-/ ]?\d{2,}[A-Z0-9\-/]*)"
+YEAR = r"(?:19|20)\d{2}"
+ID_LIKE = r"(?i)[A-Z]{0,5}[-/ ]?\d{2,}[A-Z0-9\-/]*"
 TOTAL = r"(?i)total[^\d\n]{0,25}([\d.,]+\d)"
 DOCUMENT_WORDS = r"(?i)invoice|receipt|factura|recibo|report|agreement|contract|form|payment"
 PARTIES = r"(?is)between\s+(.+?)\s+(?:\(.*?\)\s+)?and\s+(.+?)(?:\s*[\.,\n(]|$)"
@@ -36,7 +36,7 @@ CONTRACT_RULES = {
 def label_rows() -> list[tuple[str, str, int, str]]:
     """(doc_type, field, rank, normalised label), in the order of the types' fields."""
     clean = lambda s: s.lower().strip(TRIMMED)
-    return [(t, f, r, clean(label)) for t, names in FIELDS.items() for f in names.split() for r, label in enumerate(LABELS[f].split("|"))]
+    return [(t, f, r, clean(label)) for t, names in FIELDS.items() for f in names for r, label in enumerate(LABELS[f])]
 
 
 def label_table(spark: SparkSession) -> DataFrame:
@@ -49,9 +49,9 @@ def coerce(field: Column, raw: Column) -> Column:
     pack = lambda s, n, p: F.struct(s.alias("value_str"), n.alias("value_num"), F.lit(p).cast("double").alias("penalty") if not isinstance(p, Column) else p.alias("penalty"))
     months = group(raw, TERM, 1).cast("double") * F.when(F.lower(group(raw, TERM, 2)).rlike("^(?:year|año)"), 12).otherwise(1)
     iso = normalize_date(raw)
-    code = group(F.upper(raw), rf"(?U)\b({CURRENCY_CODES})\b")
+    code = group(F.upper(raw), rf"(?U)\b({'|'.join(CURRENCY_CODES)})\b")
     method = reduce(lambda w, m: w.when(F.lower(raw).contains(m), m), PAYMENT_METHODS, F.when(F.lit(False), ""))
-    year, ident = group(raw, YEAR), group(raw, ID_LIKE)
+    year, ident = group(raw, YEAR, 0), group(raw, ID_LIKE, 0)
     tidy = F.regexp_replace(F.btrim(raw), "[.;,]+$", "")
     either = lambda good, bad, p: pack(F.coalesce(good, bad), null_num, F.when(good.isNotNull(), F.lit(0.0)).otherwise(p))
     return (

@@ -60,7 +60,7 @@ def documents_correct(counts: DataFrame, documents: DataFrame) -> DataFrame:
 
     counts: doc_id, name, tp, fp, fn. documents: doc_id, doc_type.
     """
-    critical = F.create_map(*[x for t, names in CRITICAL.items() for x in (F.lit(t), F.array(*[F.lit(n) for n in names.split()]))])
+    critical = F.create_map(*[x for t, names in CRITICAL.items() for x in (F.lit(t), F.array(*[F.lit(n) for n in names]))])
     joined = documents.select("doc_id", "doc_type").join(counts, "doc_id", "left")
     in_truth = F.col("tp") + F.col("fn") > 0
     matters = in_truth & F.array_contains(F.try_element_at(critical, F.col("doc_type")), F.col("name"))

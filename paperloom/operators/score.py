@@ -36,7 +36,7 @@ def score_documents(docs: DataFrame, fields: DataFrame, findings: DataFrame) ->
     confidence = mean field confidence x (0.5 + 0.5 coverage) less the cost of errors and warnings, within
     0..1. Sums are taken in decimals, so that the order of rows never shows.
     """
-    required = F.create_map(*[x for t, f in REQUIRED.items() for x in (F.lit(t), F.array(*[F.lit(n) for n in f.split()]))])
+    required = F.create_map(*[x for t, f in REQUIRED.items() for x in (F.lit(t), F.array(*[F.lit(n) for n in f]))])
     filled = F.when(F.col("value_num").isNotNull() | (F.coalesce("value_str", F.lit("")) != ""), F.col("name"))
     per_doc = fields.groupBy("doc_id").agg(F.sum(F.col("confidence").cast("decimal(10,3)")).alias("conf_sum"), F.count("*").alias("n_fields"), F.collect_set(filled).alias("have"))
     counts = findings.groupBy("doc_id").agg(F.count_if(F.col("severity") == "error").alias("n_errors"), F.count_if(F.col("severity") == "warn").alias("n_warnings"))

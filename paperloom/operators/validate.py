@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.dims import DATE_FIELDS, FIELD_COST, FIELDS, NUMERIC_FIELDS, PII, REQUIRED, SAFE_FIELDS
+from paperloom.dims import DATE_FIELDS, FIELD_COST, FIELDS, NUMERIC_FIELDS, PII_ORDER, REQUIRED, SAFE_FIELDS
 from paperloom.functions.scalars import is_valid_nit, looks_like_nit, mask_pii
 
 # Patterns of identifiers and dates.
@@ -47,7 +47,7 @@ def _checks() -> list[Column]:
     out: list[Column] = []
     add = lambda *a, **k: out.append(_finding(a[0], len(out), *a[1:], **k))
     for doc_type, names in REQUIRED.items():
-        for f in names.split():
+        for f in names:
             missing = (F.coalesce(s(f), F.lit("")) == "") & n(f).isNull()
             add((kind == doc_type) & missing, "error", "missing_required", f)
     for f in DATE_FIELDS:
@@ -80,7 +80,7 @@ def validate_fields(docs: DataFrame, fields: DataFrame) -> DataFrame:
 def missing_required(docs: DataFrame, fields: DataFrame) -> DataFrame:
     """(doc_id, field) of required fields without a value, as an anti join."""
     spark = docs.sparkSession
-    rows = [(t, f) for t, names in REQUIRED.items() for f in names.split()]
+    rows = [(t, f) for t, names in REQUIRED.items() for f in names]
     wanted = docs.select("doc_id", "doc_type").join(F.broadcast(spark.createDataFrame(rows, "doc_type string, field string")), "doc_type")
     have = fields.where("value_num is not null or coalesce(value_str, '') <> ''").select("doc_id", F.col("name").alias("field"))
     return wanted.join(have, ["doc_id", "field"], "left_anti").select("doc_id", "field")
@@ -97,15 +97,15 @@ def penalize_fields(fields: DataFrame, findings: DataFrame) -> DataFrame:
 def redact_fields(fields: DataFrame) -> DataFrame:
     """fields with personal data in the text values of unsafe fields masked, the flag redacted and counts n_<kind>."""
     masked = mask_pii(fields.withColumn("__t", F.when(~F.col("name").isin(*SAFE_FIELDS), F.col("value_str"))), "__t", "__m")
-    total = reduce(lambda a, b: a + b, [F.col(f"n_{k}") for k in PII])
+    total = reduce(lambda a, b: a + b, [F.col(f"n_{k}") for k in PII_ORDER])
     return masked.withColumns({"value_str": F.coalesce("__m", "value_str"), "redacted": total > 0}).drop("__t", "__m")
 
 
 def pii_findings(redacted: DataFrame) -> DataFrame:
     """An info finding with the counts of each kind for documents in which something was masked."""
-    sums = redacted.groupBy("doc_id").agg(*[F.sum(f"n_{k}").alias(k) for k in PII])
-    counts = F.map_filter(F.create_map(*[x for k in PII for x in (F.lit(k), F.col(k).cast("string"))]), lambda k, v: v != "0")
-    return sums.where(" + ".join(PII) + " > 0").select("doc_id", F.lit(1000).alias("seq"), F.lit("info").alias("severity"), F.lit("pii_redacted").alias("code"), F.lit(None).cast("string").alias("field"), counts.alias("details"))
+    sums = redacted.groupBy("doc_id").agg(*[F.sum(f"n_{k}").alias(k) for k in PII_ORDER])
+    counts = F.map_filter(F.create_map(*[x for k in PII_ORDER for x in (F.lit(k), F.col(k).cast("string"))]), lambda k, v: v != "0")
+    return sums.where(" + ".join(PII_ORDER) + " > 0").select("doc_id", F.lit(1000).alias("seq"), F.lit("info").alias("severity"), F.lit("pii_redacted").alias("code"), F.lit(None).cast("string").alias("field"), counts.alias("details"))
 
 
 def low_ocr_confidence(docs: DataFrame, least: float = 0.6) -> DataFrame:
@@ -134,4 +134,4 @@ def judge_findings(verdicts: DataFrame) -> DataFrame:
 
 
 def field_names(doc_type: str) -> list[str]:
-    return FIELDS[doc_type].split()
+    return FIELDS[doc_type]

@@ -249,7 +249,7 @@ def multi_pair_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sql_score(doc_type: str) -> str:
-    return "round(" + " + ".join(rf"least(len(regexp_extract_all(lower(text), '\b{p}\b')), 3) * {w}" for p, w in KEYWORDS[doc_type]) + ", 3)"
+    return "round(" + " + ".join(f"least(len(regexp_extract_all(lower(text), '{p}')), 3) * {w}" for p, w in KEYWORDS[doc_type]) + ", 3)"
 
 
 @query("SELECT case_id, " + ", ".join(f"CAST({_sql_score(t)} AS DOUBLE) AS {t}" for t in DOC_TYPES) + " FROM (SELECT DISTINCT case_id, text FROM eval_cases WHERE text IS NOT NULL)")
@@ -336,7 +336,7 @@ def document_scores(spark: SparkSession, d: str) -> DataFrame:
 
 def _invoice_fields(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The invoices as stored, one of each trace_id, as documents and their fields."""
-    names = [c for c in FIELDS["invoice"].split() if c != "payment_terms"]
+    names = [c for c in FIELDS["invoice"] if c != "payment_terms"]
     rows = table(spark, d, "invoices").where("trace_id is not null").groupBy("trace_id").agg(*[F.max(c).alias(c) for c in names])
     docs = rows.select(F.col("trace_id").alias("doc_id"), F.lit("invoice").alias("doc_type"))
     numbers = ("subtotal", "tax", "total")
@@ -345,7 +345,7 @@ def _invoice_fields(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return docs, fields.where("value_str is not null or value_num is not null")
 
 
-_INV = "WITH inv AS (SELECT trace_id AS doc_id, " + ", ".join(f"max({c}) AS {c}" for c in FIELDS["invoice"].split() if c != "payment_terms") + " FROM invoices WHERE trace_id IS NOT NULL GROUP BY trace_id) "
+_INV = "WITH inv AS (SELECT trace_id AS doc_id, " + ", ".join(f"max({c}) AS {c}" for c in FIELDS["invoice"] if c != "payment_terms") + " FROM invoices WHERE trace_id IS NOT NULL GROUP BY trace_id) "
 _ISO = r"'^\d{4}-\d{2}-\d{2}$'"
 
 
@@ -354,12 +354,12 @@ def _codes(spark: SparkSession, d: str, *codes: str) -> DataFrame:
     return validate_fields(docs, fields).where(F.col("code").isin(*codes)).select("doc_id", "severity", "code", "field")
 
 
-@query(_INV + " UNION ALL ".join(f"SELECT doc_id, 'error' AS severity, 'missing_required' AS code, '{c}' AS field FROM inv WHERE {c} IS NULL" + ("" if c in ("subtotal", "tax", "total") else f" OR {c} = ''") for c in REQUIRED["invoice"].split()))
+@query(_INV + " UNION ALL ".join(f"SELECT doc_id, 'error' AS severity, 'missing_required' AS code, '{c}' AS field FROM inv WHERE {c} IS NULL" + ("" if c in ("subtotal", "tax", "total") else f" OR {c} = ''") for c in REQUIRED["invoice"]))
 def check_required(spark: SparkSession, d: str) -> DataFrame:
     return _codes(spark, d, "missing_required")
 
 
-@query(_INV + " UNION ALL ".join(f"SELECT doc_id, '{c}' AS field FROM inv WHERE {c} IS NULL" + ("" if c in ("subtotal", "tax", "total") else f" OR {c} = ''") for c in REQUIRED["invoice"].split()))
+@query(_INV + " UNION ALL ".join(f"SELECT doc_id, '{c}' AS field FROM inv WHERE {c} IS NULL" + ("" if c in ("subtotal", "tax", "total") else f" OR {c} = ''") for c in REQUIRED["invoice"]))
 def missing_by_anti_join(spark: SparkSession, d: str) -> DataFrame:
     return missing_required(*_invoice_fields(spark, d))
 

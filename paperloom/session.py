@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "paperloom") -> SparkSession:
-    """A local session for tests and the bench; a cluster brings its own."""
+    """A local session for tests and the bench, with a folder for checkpoints; a cluster brings its own."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -16,6 +17,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        .config("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix=app)}")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.driver.bindAddress", "127.0.0.1")
@@ -31,12 +34,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in the folder named by spark.checkpoint.dir.
 
-    The folder is read from the session; a temporary one is set only where the setting is
-    absent (tests and local runs).
+    The folder is read from the session. Where the setting is absent, a master on this machine gets a
+    temporary folder and any other one is an error: its executors would write to disks of their own.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="paperloom-checkpoint-"))
     return df.checkpoint(eager=True)
