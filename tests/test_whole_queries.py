@@ -4,10 +4,6 @@ import datetime
 
 import pytest
 
-from pyspark.sql import functions as F
-
-from paperloom.llm import mixing
-from paperloom.llm.queries import p9_found
 from paperloom.operators.validate import compared_date
 from paperloom.plans.reference_queries import QUERIES
 
@@ -52,16 +48,6 @@ def test_dates_are_compared_in_the_forms_of_iso_dates_only(spark, tmp_path):
     assert {r.doc_id for r in QUERIES["check_date_order"](spark, str(tmp_path)).collect()} == {"a", "b"}
 
 
-def test_p9_found_runs_the_mixing(spark, tmp_path, monkeypatch):
-    spark.createDataFrame([(1, "a", "some words here"), (2, "b", "more")], "doc_id int, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([("a", 0.5, 1), ("b", 0.9, 1)], "source_name string, target_share double, max_repeats int").write.parquet(f"{tmp_path}/mix_targets.parquet")
-    assert [r.source_name for r in p9_found(spark, str(tmp_path)).collect()] == ["b"]
-    drawn = lambda *_: spark.range(1).select(F.raise_error(F.lit("drawn")).cast("bigint").alias("shard"), F.lit("a").alias("source"), F.lit(0).cast("bigint").alias("block"), F.raise_error(F.lit("drawn")).cast("int").alias("repeat"))
-    monkeypatch.setattr(mixing, "draw_slots", lambda *a: drawn().where("repeat >= 0"))
-    with pytest.raises(Exception, match="drawn"):
-        p9_found(spark, str(tmp_path)).collect()
-
-
 def test_long_texts_go_through_masking_pages_and_pipeline(spark, tmp_path):
     long = "Invoice No: 7\n" + "word " * 8000 + "\f mail a.b@c.com, card 4242 4242 4242 4242"
     spark.createDataFrame([(1, long, None, None), (2, None, "x", "en"), (3, "", "x", None)], "doc_id int, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
