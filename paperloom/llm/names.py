@@ -15,7 +15,7 @@ import functools
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -72,8 +72,11 @@ PLACEHOLDERS = frozenset(
 _DIGIT_LETTERS = str.maketrans("01358", "olesb")
 
 
+@functools.lru_cache(maxsize=200_000)
 def fold(text: str) -> str:
     """Lower case, without accents, with white space collapsed."""
+    if text.isascii():
+        return " ".join(text.lower().split())
     text = unicodedata.normalize("NFKD", text)
     return re.sub(r"\s+", " ", "".join(c for c in text if not unicodedata.combining(c)).lower().replace("ß", "ss")).strip()
 
@@ -93,14 +96,45 @@ for _full in GIVEN:
     _NICKS[_full] = [_full]
 
 
+class NearIndex:
+    """A fixed list of words, to find those within k edits (swaps of neighbours count as one) without comparing all.
+
+    Words within k edits have a text in common once up to k letters are taken out of each.
+    """
+
+    def __init__(self, words: Iterable[str], k: int) -> None:
+        self.order = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        self.k = k
+        self.held: dict[str, list[str]] = {}
+        for word in self.order:
+            for short in self._shorter(word):
+                self.held.setdefault(short, []).append(word)
+
+    def _shorter(self, word: str) -> set[str]:
+        out = last = {word}
+        for _ in range(self.k):
+            last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+            out = out | last
+        return out
+
+    def near(self, word: str, k: int) -> list[str]:
+        if len(word) > max(map(len, self.order)) + self.k:
+            return []
+        found = {w for short in self._shorter(word) for w in self.held.get(short, ())}
+        return sorted((w for w in found if banded(word, w, k) <= k), key=self.order.__getitem__)
+
+
+_GIVEN_INDEX, _TRADE_INDEX = NearIndex(GIVEN, 1), NearIndex(TRADES, 2)
+
+
 def given_names(token: str) -> list[str]:
     """The given names a token may stand for: itself, what it is short for, or a name one slip away."""
     if token in _NICKS:
         return _NICKS[token]
     if len(token) < 4:
         return []
-    near = [n for n in GIVEN if n[0] == token[0] and banded(token, n, 1) <= 1]
-    return near or [n for n in GIVEN if len(n) > 4 and banded(token, n, 1) <= 1]
+    near = _GIVEN_INDEX.near(token, 1)
+    return [n for n in near if n[0] == token[0]] or [n for n in near if len(n) > 4]
 
 
 def _thinned(short: str, word: str) -> bool:
@@ -108,6 +142,7 @@ def _thinned(short: str, word: str) -> bool:
     return short[0] == word[0] and all(c in it for c in short)
 
 
+@functools.lru_cache(maxsize=200_000)
 def trades_of(token: str) -> list[str]:
     """The lines of trade a word may stand for; abbreviations may stand for several."""
     dotted, bare = token.endswith("."), unread(token.strip(".").replace(".", ""), False)
@@ -118,7 +153,7 @@ def trades_of(token: str) -> list[str]:
     exact = [t for t in TRADES if t == bare]
     if exact:
         return exact
-    near = [t for t in TRADES if len(bare) >= 5 and banded(bare, t, 1 if len(t) < 8 else 2) <= (1 if len(t) < 8 else 2)]
+    near = [t for t in _TRADE_INDEX.near(bare, 2) if len(t) >= 8 or banded(bare, t, 1) <= 1] if len(bare) >= 5 else []
     if near:
         return near
     vowels = sum(c in "aeiou" for c in bare)

@@ -21,7 +21,7 @@ Card {credit_card}|Refund to card {credit_card}, approved by {person}.|card {cre
 Address: {address}|Employee lives at {address}, mail {email}.|El solicitante vive en {address}.|Notices go to {address}, copy to {email}.|Home address on file: {address}.|Lieferung an {address} bis {date}.|Left with the neighbour at {address}; signed by {person}.|{person}, {address}|Parcel for {person}, {address}.
 {person} <{email}>|{person} / {phone}|Emergency contact {person}, {phone}, {email}.|Enviar copia a {email} antes del {date}.|Remit advice to {email}.|Contactar a {person} al {phone} por el saldo de {money}.|Bitte an {person} weiterleiten, Tel. {phone}.|Cashier asked for {phone}|{person}|{address}|{phone}|Dear {person},|by telephone ({phone}).|Limit  {amount}
 Deliver with {ref}; {n} @ {amount} each.|Counted {n} x {parts} brackets, {ref}.|Duplicate of {ref}, do not pay.|Payment matched against {ref} on {date}.|Price changed to {money} per the annex dated {date}.|Se recibió el pedido {ref} por {money}.|Rechnung {ref} über {money} geprüft.|Case ref: {ref}|Ref: {ref}
-{company} asked {dept} for {n} extra copies.|{company} shipped {n} cartons; freight {money}.|Batch closed by {dept}, {n} lines open.|Approved without comment.|Stamp illegible, second scan requested.|{company}, {ref}|{company}|NIT: {nit}|Tax ID {nit}|This agreement is made on {date} between {company} and {company}.|Governing Law: State of {place}.|Total: {amount}|Subtotal: {amount}|{place}|Invoice No: INV-{n}|Invoice Date: {date}|Fees of {money}.|Term: {n} months.|Department: {dept}|{item}  {n}  {amount}|Factura No: FV-{n}|Form No: F-{n}|This invoice {ref} of {date} asks for {money} in total, tax of {amount} included.
+{company} asked {dept} for {n} extra copies.|{company} shipped {n} cartons; freight {money}.|Batch closed by {dept}, {n} lines open.|Approved without comment.|Stamp illegible, second scan requested.|{company}, {ref}|{company}|NIT: {nit}|{nit}|{nit}|Tax ID {nit}|This agreement is made on {date} between {company} and {company}.|Governing Law: State of {place}.|Total: {amount}|Subtotal: {amount}|{place}|Invoice No: INV-{n}|Invoice Date: {date}|Fees of {money}.|Term: {n} months.|Department: {dept}|{item}  {n}  {amount}|Factura No: FV-{n}|Form No: F-{n}|This invoice {ref} of {date} asks for {money} in total, tax of {amount} included.
 SERVICES AGREEMENT|Contract No: MSA-{n}|RECEIPT R-{n}|APPLICATION FORM|Form No  F-{n}|TOTAL {money}|Total Due: {amount}|Annual Report|Executive Summary|Payment Terms: Net {n}|{dept}|{item}|Purchase Order {ref}|Approved by {dept}.|Contact {dept} before {date}.|{dept}, {place}|{place}, {date}|{company}, {place}
 Sent to night shift on {date}.|Approved for late delivery.|Prepared by the team in {place}.|{company} {ref}|Vendor: {company}|Delivered to {place} on {date}.|Submitted by: {company}|Customer: {company}|Bill To: {company}
 {masked} lives at {address}.|Emergency contact {masked}, {phone}.|Applicant's {masked2} was checked by {dept}.|Pay into {masked3} quoting {ref}.
@@ -57,7 +57,7 @@ class _Writer:
 
     def person(self) -> tuple[str, int]:
         r = self.r
-        known = r.random() < 0.75
+        known = r.random() < 0.5
         # a made-up given name stands for all those outside the list; hardly one comes twice
         given = (r.choice(self.given) if r.random() < 0.85 else r.choice(self.short)).capitalize() if known else self.made_up()
         if known and r.random() < 0.07:
@@ -79,7 +79,7 @@ class _Writer:
         else:
             name = f"{family} {given}{middle}"
         dress = r.random()
-        name = name.upper() if dress < 0.12 else name.lower() if dress < (0.24 if known else 0.36) else name
+        name = name.upper() if dress < 0.12 else name.lower() if dress < 0.24 else name
         title = r.choice(("Mr ", "Ms. ", "Dr. ", "Sra. ", "Ing. ", "Herr ", "Prof. ")) if r.random() < 0.1 else ""
         return title + name, len(title)
 
@@ -142,6 +142,7 @@ class _Writer:
             f"{n} {w()} {r.choice(('Street', 'St.', 'Avenue', 'Blvd', 'Road', 'Lane', 'Court', 'Drive'))}" + r.choice(("", "", f", Apt {r.randrange(1, 40)}B", f", Unit {r.randrange(1, 90)}")),
             f"{r.randrange(1, 300)} rue {w()}", f"{r.randrange(1, 300)}, avenue de la {w()}", f"{r.choice(('Kr', 'Cra.', 'Carrera', 'Calle', 'Cl'))} {r.randrange(1, 190)} {r.choice(('No.', '#'))} {r.randrange(1, 99)}{r.choice(('', '', 'A', ' bis'))}{r.choice((' - ', '-'))}{r.randrange(1, 99)}",
             f"{r.choice(('Calle', 'Avenida', 'Av.', 'Paseo', 'Plaza'))} {w()} {n}" + r.choice(("", f", piso {r.randrange(1, 20)}")), f"{w()}{r.choice(('straße', 'gasse', 'weg', 'str.', 'allee'))} {r.randrange(1, 200)}", f"{w()}er Straße {r.randrange(1, 200)}",
+            r.choice((f"{r.choice(('Via', 'Viale', 'Corso', 'Piazza', 'Rua', 'Travessa'))} {r.choice(('', '', 'della ', 'do '))}{w()}{r.choice((' ', ', '))}{r.randrange(1, 400)}", f"{r.randrange(1, 99)} {r.choice(('Piazza', 'Via', 'Rua'))} {w()}")),
         )), 0
 
     def ref(self) -> str:
@@ -160,7 +161,7 @@ class _Writer:
             "ref": self.ref, "amount": lambda: amount, "n": lambda: str(r.randrange(1, 99)), "dept": lambda: r.choice(_DEPT), "place": place,
             "money": lambda: r.choice((f"{r.choice(('USD', 'COP', 'EUR'))} {amount}", f"{amount} EUR", f"COP {r.randrange(1, 99)}.{d(3)}.{d(3)}", f"USD {r.randrange(1, 9)},{d(3)}.{d(2)}", amount)),
             "date": lambda: r.choice((f"{y}-{m:02d}-{day:02d}", f"{day:02d}/{m:02d}/{y}", f"{_MONTHS[m - 1]} {day}, {y}", f"{day:02d}.{m:02d}.{y}")),
-            "parts": lambda: f"{d(2)}-{d(2)}-{d(2)}", "nit": lambda: f"8{d(2)}.{d(3)}.{d(3)}-{d(1)}", "item": lambda: r.choice(("Cold storage", "Toner black", "Café molido", "Bearing set")),
+            "parts": lambda: f"{d(2)}-{d(2)}-{d(2)}", "nit": lambda: r.choice((f"8{d(2)}.{d(3)}.{d(3)}-{d(1)}", f"8{d(2)}.{d(3)}.{d(3)}-{d(1)}", f"9{d(2)}.{d(3)}.{d(3)}-{d(1)}", f"8{d(8)}-{d(1)}")), "item": lambda: r.choice(("Cold storage", "Toner black", "Café molido", "Bearing set")),
             "company": lambda: (lambda s: s.upper() if r.random() < 0.1 else s)(self.word() + r.choice((" ", " & ", " Weg ", " Avenue ", " Street ", " ")) + r.choice((self.word() + " ", "")) + r.choice(_TRADE) + " " + r.choice(_LEGAL)),
             "masked": lambda: "[REDACTED:person]", "masked2": lambda: "DNI [REDACTED:id_number]", "masked3": lambda: "[REDACTED:iban]",
         }[name]()
