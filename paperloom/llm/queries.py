@@ -133,28 +133,40 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    """Sources that can't reach their share; the whole report is written first, so that the mixing isn't pruned."""
+    """Sources the mixing left below their share and whose exact sizes say that no mixing can reach it."""
     _, report = mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))
-    return cut(report).where("not reachable").select("source_name")
+    return report.where("size_reached < size_asked").where("not reachable").select("source_name")
 
 
 def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p9_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """The sizes of the report, which no draw changes."""
+    return p9_report(spark, d).select("source_name", "size_held", F.round("size_asked", 2).alias("size_asked"), "reachable")
+
+
 def p9_selection(spark: SparkSession, d: str) -> DataFrame:
     return mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
 
 
 _SQL_TOKENS = r"len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'))"
 
-P9_SQL = f"""
-WITH s AS (SELECT source, {_SQL_TOKENS} AS n FROM documents),
+_P9_SIZES = f"""WITH s AS (SELECT source, {_SQL_TOKENS} AS n FROM documents),
 held AS (SELECT source, sum(n) AS size FROM s GROUP BY source),
-total AS (SELECT sum(n) AS size FROM s)
+total AS (SELECT sum(n) AS size FROM s)"""
+P9_SQL = f"""
+{_P9_SIZES}
 SELECT t.source_name FROM mix_targets t LEFT JOIN held h ON h.source = t.source_name CROSS JOIN total
 WHERE t.max_repeats * coalesce(h.size, 0) < t.target_share * total.size
 """
+P9_SIZES_SQL = f"""
+{_P9_SIZES}
+SELECT t.source_name, CAST(coalesce(h.size, 0) AS BIGINT) AS size_held, round(t.target_share * total.size, 2) AS size_asked,
+       t.max_repeats * coalesce(h.size, 0) >= t.target_share * total.size AS reachable
+FROM mix_targets t LEFT JOIN held h ON h.source = t.source_name CROSS JOIN total
+"""
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -173,8 +185,8 @@ P10_SQL = f"SELECT doc_id FROM documents WHERE {_SQL_TOKENS} > (SELECT max_token
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_entities, p4_found, p4_quantiles, p6_found, p6_unmatched, p7_found, p7_redacted, p8_containers, p8_fill, p9_found, p9_report, p9_selection, p10_found, p10_pieces,
+        p1_found, p1_entities, p4_found, p4_quantiles, p6_found, p6_unmatched, p7_found, p7_redacted, p8_containers, p8_fill, p9_found, p9_report, p9_sizes, p9_selection, p10_found, p10_pieces,
     )
 }
 
-ORACLES: dict[str, str] = {"p4_found": P4_SQL, "p9_found": P9_SQL, "p10_found": P10_SQL}
+ORACLES: dict[str, str] = {"p4_found": P4_SQL, "p9_found": P9_SQL, "p9_sizes": P9_SIZES_SQL, "p10_found": P10_SQL}
