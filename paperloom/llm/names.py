@@ -12,6 +12,7 @@ Null, empty and placeholder names belong to nobody and get no link. Repeated nam
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import re
 import unicodedata
@@ -182,7 +183,7 @@ def parse_company(name: str) -> dict | None:
             continue
         if not trade and len(t.strip(".")) > 1 and (found := trades_of(t)):
             trade = found
-        elif bare := unread(re.sub(r"[^a-z0-9]", "", t)):
+        elif bare := unread(re.sub(r"[^a-z0-9]", "", t), False):
             core.append(bare)
     if not core:
         core, trade = [t for t in trade[:1]], []
@@ -210,7 +211,7 @@ def parse_person(name: str) -> dict | None:
     front = split(head)
     while front and front[0].strip(".") in TITLES and len(front) + len(split(tail)) > 1:
         front = front[1:]
-    bare = lambda t: unread(re.sub(r"[^a-z0-9]", "", t))
+    bare = lambda t: unread(re.sub(r"[^a-z0-9]", "", t), False)
     if comma and split(tail):
         rest = [bare(t) for t in split(tail)]
         given, middle, surnames = rest[0], rest[1:2], [bare(t) for t in front] + rest[2:]
@@ -236,12 +237,13 @@ def parse_person(name: str) -> dict | None:
     surnames = attach_particles([s for s in surnames if s])
     if not surnames:
         return None
-    names = [given] if len(given) == 1 else given_names(given) or [given]
+    names = [given] if len(given) == 1 else given_names(given) or given_names(given.replace("rn", "m")) or [given]
     return {"kind": "submitter", "given": sorted(names), "middle": middle[0] if middle else "", "surnames": surnames}
 
 
 def _near(a: str, b: str, k: int = 1) -> bool:
-    return banded(a, b, k) <= k
+    """Within k slips, as written or with every rn taken for an m that a scanner misread."""
+    return banded(a, b, k) <= k or ("rn" in a or "rn" in b) and banded(a.replace("rn", "m"), b.replace("rn", "m"), k) <= k
 
 
 def _words_agree(a: list[str], b: list[str]) -> bool:
@@ -315,68 +317,100 @@ def fullness(p: dict) -> int:
     return 2 * (len(p["given"][0]) > 1) + (1 if p["middle"] else 0) + 2 * sum(2 if len(s) > 1 else 1 for s in p["surnames"])
 
 
-def join_keys(p: dict) -> list[tuple[str, str, int]]:
-    """(space, key, k): the whole name, and for shorter forms the word they share with the fuller one.
+def join_keys(p: dict) -> list[tuple[str, str, int, str]]:
+    """(space, key, k, role): the whole name, and what shorter forms of it share with the fuller one.
 
-    Whole names may differ by one slip a word, single words by one; k is 3 for keys of two words (two slips,
-    one of them a swap) and 1 for those of one. Keys of a length either could have are in both spaces.
-    Persons with a known given name meet within that name only, on their surnames: a given name thousands
-    share would make a segment that tells nothing.
+    Whole names may differ by one slip a word, so k is 1 for one word, 3 for two or three (a swap takes two
+    edits), and the number of words beyond that; below 10 letters segments for k = 3 would tell nothing, and k
+    is 1. Keys of a length either could have are in both spaces. Persons with a known given name meet within
+    that name only, on their surnames: a given name thousands share would make a segment that tells nothing.
+    Shorter forms (role s) meet fuller ones (role f) only, never each other, so that a surname a tenth of all
+    share costs its few short forms times its bearers, not the square of these.
     """
-    out: list[tuple[str, str, int]] = []
+    out: list[tuple[str, str, int, str]] = []
+
+    def whole(space: str, key: str, words: int, role: str = "") -> None:
+        if "rn" in key:
+            whole(space, key.replace("rn", "m"), words, role)
+        if len(key) <= 11 or words == 1:
+            out.append((space, key, 1, role))
+        if len(key) >= 10 and words > 1:
+            out.append((space, key, max(3, words), role))
+
     if p["kind"] == "vendor":
         if all(len(t) > 1 for t in p["core"]):
             for key in {"".join(p["core"]), "".join(p["core"][::-1])}:
-                if len(key) <= 11:
-                    out.append(("v", key, 1))
-                if len(key) >= 10:
-                    out.append(("v", key, 3))
+                whole("v", key, 2)
         if len(p["core"]) == 2:
             a, b = p["core"]
-            out += [(f"w{other[0]}", word, 1) for word, other in ((a, b), (b, a)) if len(word) > 1]
-    else:
-        full = [s for s in p["surnames"] if len(s) > 1]
-        if len(full) == len(p["surnames"]):
-            key = "".join(full)
-            for g in [g for g in p["given"] if len(g) > 1]:
-                if g not in GIVEN:  # an unknown name may itself hold a slip
-                    out.append((f"u{g[0]}", g + key, 3))
-                    continue
-                if len(key) <= 11:
-                    out.append((f"p{g}", key, 1))
-                if len(key) >= 10:
-                    out.append((f"p{g}", key, 3))
-        if full:
-            out += [(f"q{g}", full[0], 1) for g in {g[0] for g in p["given"]}]
+            for word, other in ((a, b), (b, a)):
+                if len(word) > 1:
+                    whole(f"w{other[0]}", word, 1, "s" if len(other) == 1 else "f")
+                    if 1 < len(other) and len(a) + len(b) < 12:
+                        # of two short words with a slip each, the other one has its first or its last letter right
+                        whole(f"x{other[0]}", word, 1)
+                        whole(f"y{other[-1]}", word, 1)
+        return list(dict.fromkeys(out))
+
+    lead = list(itertools.takewhile(lambda s: len(s) > 1, p["surnames"]))
+    complete = len(lead) == len(p["surnames"])
+    parts = ["".join(lead[: n + 1]) for n in range(len(lead))]
+    named = [g for g in p["given"] if len(g) > 1]
+    # an unknown given name may itself hold a slip: it is part of the key
+    bases = [(f"p{g}", "") if g in GIVEN else ("u", g) for g in named] or [(f"i{p['given'][0]}", "")]
+    for base, given in bases:
+        extra = bool(given)
+        for n, key in enumerate(parts, 1):
+            last = n == len(parts)
+            if last and complete:
+                whole(f"{base}={n}", given + key, n + extra)
+            if last:
+                whole(f"{base}<{n}", given + key, n + extra, "s")
+            if not (last and complete):
+                whole(f"{base}<{n}", given + key, n + extra, "f")
+    for initial in {g[0] for g in p["given"]}:
+        for n, key in enumerate(parts, 1):
+            if named:
+                whole(f"q{initial}{n}", key, n, "f")
+            elif n == len(parts):
+                whole(f"q{initial}{n}", key, n, "s")
     return list(dict.fromkeys(out))
 
 
+def pack(p: dict) -> str:
+    """A parse as a short text, equal for equal parses; unpack reads it."""
+    return json.dumps([p["core"], p["trade"], p["legal"]] if p["kind"] == "vendor" else [p["given"], p["middle"], p["surnames"], 0], separators=(",", ":"))
+
+
+@functools.lru_cache(maxsize=100_000)
+def unpack(rid: str) -> dict:
+    parts = json.loads(rid)
+    if len(parts) == 3:
+        return {"kind": "vendor", "core": parts[0], "trade": parts[1], "legal": parts[2]}
+    return {"kind": "submitter", "given": parts[0], "middle": parts[1], "surnames": parts[2]}
+
+
 def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for kind, name in zip(batch["kind"], batch["name"]):
             p = parse_company(name) if kind == "vendor" else parse_person(name)
             if p is not None:
-                rows.append((kind, name, json.dumps(p, sort_keys=True), fullness(p)))
+                rows.append((kind, name, pack(p), fullness(p)))
         yield pd.DataFrame(rows, columns=["kind", "name", "rid", "fullness"])
 
 
 def _key_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = [(space, key, k, rid) for rid in batch["rid"] for space, key, k in join_keys(json.loads(rid))]
-        yield pd.DataFrame(rows, columns=["space", "key", "k", "rid"])
-
-
-@functools.lru_cache(maxsize=100_000)
-def _parts(rid: str) -> dict:
-    return json.loads(rid)
+        rows = [(space, key, k, role, rid) for rid in batch["rid"] for space, key, k, role in join_keys(unpack(rid))]
+        yield pd.DataFrame(rows, columns=["space", "key", "k", "role", "rid"])
 
 
 def _verify_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for a, b in zip(batch["left_rid"], batch["right_rid"]):
-            x, y = _parts(a), _parts(b)
+            x, y = unpack(a), unpack(b)
             if x["kind"] != y["kind"]:
                 continue
             verdict = compare_companies(x, y) if x["kind"] == "vendor" else compare_persons(x, y)
@@ -398,7 +432,7 @@ def link_names(names: DataFrame) -> DataFrame:
     records = parsed.select("rid", "fullness").distinct()
     # few bytes but much work a row: an explicit number of partitions is not coalesced away
     spread = max(names.sparkSession.sparkContext.defaultParallelism, int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    keys = records.select("rid").repartition(spread, "rid").mapInPandas(_key_batches, "space string, key string, k int, rid string")
+    keys = records.select("rid").repartition(spread, "rid").mapInPandas(_key_batches, "space string, key string, k int, role string, rid string")
     verified = cut(segment_join(keys).mapInPandas(_verify_batches, "verdict string, a string, b string").distinct())
 
     same = connected_components(verified.where("verdict = 'same'"))
@@ -421,8 +455,16 @@ def link_names(names: DataFrame) -> DataFrame:
     return parsed.join(final, "rid").select("kind", "name", F.sha2("entity", 256).substr(1, 16).alias("entity"))
 
 
-def name_pairs(linked: DataFrame) -> DataFrame:
-    """(kind, name_a, name_b) of all different spellings of one entity, name_a < name_b by code points."""
-    a = linked.select("kind", "entity", F.col("name").alias("name_a"))
-    b = linked.select("kind", "entity", F.col("name").alias("name_b"))
-    return a.join(b, ["kind", "entity"]).where("name_a < name_b").select("kind", "name_a", "name_b").distinct()
+def name_pairs(linked: DataFrame, block: int = 1000) -> DataFrame:
+    """(kind, name_a, name_b) of all different spellings of one entity, name_a < name_b by code points.
+
+    The spellings of an entity are cut into blocks, and pairs of blocks meet, so that an entity with a third
+    of all names is spread over as many tasks as it has blocks.
+    """
+    names = linked.select("kind", "entity", "name").distinct()
+    sizes = names.groupBy("kind", "entity").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")
+    spread = names.join(sizes, ["kind", "entity"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")
+    a = spread.select("kind", "entity", own.alias("block"), F.col("name").alias("name_a"))
+    b = spread.select("kind", "entity", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("name").alias("name_b"))
+    return a.join(b, ["kind", "entity", "block"]).where("name_a < name_b").select("kind", "name_a", "name_b")

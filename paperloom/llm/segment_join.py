@@ -68,10 +68,15 @@ def banded(a: str, b: str, k: int) -> int:
     return min(row.get(len(b), big), big)
 
 
+#: Keys of role s meet those of role f and the reverse; all others meet their own role.
+OTHER_ROLE = {"s": "f", "f": "s"}
+
+
 def _index_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
-        for space, key, k, rid in zip(batch["space"], batch["key"], batch["k"], batch["rid"]):
+        for space, key, k, role, rid in zip(batch["space"], batch["key"], batch["k"], batch["role"], batch["rid"]):
+            space += f"|{role}"
             for i, (at, size) in enumerate(segments(len(key), k)):
                 if size:
                     out.append((f"{space}|{k}|{len(key)}|{i}|{key[at : at + size]}", rid))
@@ -83,7 +88,8 @@ def _index_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _probe_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = set()
-        for space, key, k, rid in zip(batch["space"], batch["key"], batch["k"], batch["rid"]):
+        for space, key, k, role, rid in zip(batch["space"], batch["key"], batch["k"], batch["role"], batch["rid"]):
+            space += f"|{OTHER_ROLE.get(role, role)}"
             for length, i, piece in probes(key, k, 1):
                 out.add((f"{space}|{k}|{length}|{i}|{piece}", rid))
             if k == 1:
@@ -96,12 +102,15 @@ def _probe_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def segment_join(keys: DataFrame) -> DataFrame:
     """Candidate pairs (left_rid, right_rid), distinct and left_rid <> right_rid, of keys that may be near.
 
-    keys: space string (only keys of one space meet), key string, k int (the same for all keys of a
-    space), rid string. A record may have several keys. Null or empty keys meet nothing.
-    Every pair of one space whose keys are within k insertions, deletions and replacements is in the
-    result, in one of the two directions. With k = 1 so are those one swap of neighbours apart: a swap is
+    keys: space string (only keys of one space meet), key string, k int (keys of one space meet within their
+    k), rid string, and, if given, role string: keys with the role s (a short form) meet only those with the
+    role f (a fuller one). A record may have several keys. Null or empty keys meet nothing.
+    Every pair of one space whose keys are within k insertions, deletions and replacements, and of which the
+    shorter one has more than k letters, is in the result, in one of the two directions. With k = 1 so are those one swap of neighbours apart: a swap is
     two replacements, which would need shorter, less telling segments, so its variants are looked up whole.
     """
+    if "role" not in keys.columns:
+        keys = keys.withColumn("role", F.lit(""))
     keys = keys.where("key is not null and key <> '' and space is not null")
     index = keys.mapInPandas(_index_rows, "gram string, left_rid string").select(F.xxhash64("gram").alias("g"), "gram", "left_rid").drop("gram")
     probe = keys.mapInPandas(_probe_rows, "gram string, right_rid string").select(F.xxhash64("gram").alias("g"), "right_rid")
