@@ -1,9 +1,9 @@
 """Problem 6: map values people typed to the entry of a reference list they mean.
 
-Every entry of the list has spellings: its canonical value, its description and known other names of it.
-A BK-tree over the spellings (triangle inequality over a true edit metric) is broadcast; each distinct
-typed value walks the tree and gets every spelling within its threshold, the nearest entry wins, and the
-winners of several trees (shards of a large list) are merged by the least distance.
+Every entry of the list has spellings: its canonical value, its description and the other names the caller
+knows of it. A BK-tree over the spellings (triangle inequality over a true edit metric) is broadcast; each
+distinct typed value walks the tree and gets every spelling within its threshold, the nearest entry wins, and
+the winners of several trees (shards of a large list) are merged by the least distance.
 
 Null and blank values get no row. A value that is exactly a canonical one maps to it; a value equally
 near to two entries, or near to none, maps to 0. Repeated values are looked up once.
@@ -19,46 +19,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Other names of the entries, by field and canonical value. {n} stands for the number in a
-# canonical value of the form 'Net n', {w} for that number in words.
-SYNONYMS = {
-    "payment_method": {
-        "cash": "efectivo|en efectivo|dinero en efectivo|paid in cash|cash payment|notes and coins|bar|bar bezahlt|barzahlung|espèces|contado|al contado|bargeld|en espèces",
-        "card": "credit card|debit card|plastic card|contactless card|pos card|chip and pin|tc|t. crédito|tarjeta|tarjeta de crédito|tarjeta de débito|tarj. débito|tarj. crédito|kreditkarte|carte bancaire|card ending 0000|visa|mastercard|amex|ec-karte|karte",
-        "transfer": "bank transfer|tranfer|wire|wire transfer|eft|trf|bank giro|sepa transfer|transferencia|transf. bancaria|transferencia bancaria|consignación bancaria|überweisung|virement|banküberweisung|virement bancaire",
-        "cheque": "check|chq|chk no. 0000|paid by check|paid by cheque|bank cheque|bank check|cheque de gerencia|scheck|chèque",
-        "direct debit": "dd|sepa dd|lastschrift|domiciliación|domiciliación bancaria|débito automático|autopay debit|direct-debit mandate|prélèvement",
-        "mobile wallet": "wallet|e-wallet|phone wallet|qr wallet|paid by phone app|billetera móvil|monedero digital|billetera digital|apple pay|google pay",
-        "gift card": "giftcard|gift voucher|voucher|store voucher|bono regalo|tarjeta regalo|gutschein|geschenkkarte|carte cadeau",
-        "money order": "m.o.|postal order|postal money order|giro postal|postanweisung|mandat postal",
-    },
-    "currency": {
-        "USD": "$|us$|us dollar|us dollars|u.s. dollar|u.s. dollars|u.s.d.|american dollars|american dollar|dólares americanos|dólar americano|dolares eeuu|usd (dollars)|us dolar|dólares",
-        "EUR": "€|eur€|euro|euros|euro(s)|e.u.r.",
-        "COP": "col$|cop$|colombian pesos|colombian peso|peso col.|col. peso|pesos colombianos|pesos (colombia)|c.o.p.",
-        "GBP": "£|sterling|stg|pounds sterling|pound sterling|british pound|british pounds|uk pounds|libras esterlinas|g.b.p.|gb£",
-        "MXN": "mx$|mex$|mexican pesos|mexican peso|pesos mexicanos|peso mex.|m.n. (méxico)|m.x.n.",
-        "CAD": "c$|ca$|cdn$|cad$|canadian dollars|canadian dollar|can. dollars|dólar canadiense|dólares canadienses|c.a.d.",
-        "BRL": "r$|brazilian real|brazilian reais|reais|real (br)|reales brasileños|b.r.l.",
-        "CLP": "clp$|chilean pesos|chilean peso|peso chil.|pesos chilenos|c.l.p.|ch$",
-        "PEN": "s/|s/.|soles|sol|nuevos soles|sol peruano|soles peruanos|peruvian soles|peruvian sol|p.e.n.",
-        "ARS": "ar$|argentine pesos|argentine peso|peso arg.|pesos argentinos|a.r.s.",
-        "JPY": "¥|jp¥|yen|yenes|japanese yen|j.p.y.",
-        "CHF": "sfr.|fr. (ch)|franken|swiss francs|swiss franc|francos suizos|schweizer franken|c.h.f.",
-    },
-    "payment_terms": {
-        "Due on receipt": "dor|d.o.r.|upon receipt|on receipt|pay on receipt|payable when received|immediate payment|due immediately|sofort fällig|pago inmediato|payable at once",
-        "Cash on delivery": "cod|c.o.d.|collect on delivery|pay on delivery|contra entrega|pago contra entrega|nachnahme|per nachnahme",
-        "End of month": "eom|e.o.m.|due eom|month end|at end of the month|fin de mes|a fin de mes|monatsende|zum monatsende",
-        "Prepaid": "pia|p.i.a.|pre-paid|pre-paid in full|prepaid in full|payment in advance|advance payment|cash before shipment|pago anticipado|anticipado|vorkasse|vorauskasse|paid in advance",
-        "2/10 Net 30": "2/10|2/10 net30|2/10, n/30|2-10-30|2 pct 10 days / 30 net|2% discount within 10 days, otherwise 30|2% 10, net 30|2/10 n30",
-        "Net n": "n{n}|n/{n}|net-{n}|net{n}|{n}d|{n} d|net {n} d.|net {n} days|{n} days|{n} days net|net {n} days from invoice|due in {n} days|payable within {n} days|{n} días|a {n} días|pago a {n} dias|{n} tage|{n} tage netto|netto {n} tage|zahlbar in {n} tagen|{w} days|{s} días",
-    },
-}
-
-# Numbers in words, English and Spanish.
-NUMBER_WORDS = {7: ("seven", "siete"), 10: ("ten", "diez"), 15: ("fifteen", "quince"), 30: ("thirty", "treinta"), 45: ("forty-five", "cuarenta y cinco"), 60: ("sixty", "sesenta"), 90: ("ninety", "noventa")}
+from paperloom.llm.segment_join import banded
+from paperloom.session import cut
 
+#: Values that meet the tree of one shard in one task.
+SHARD_VALUES = 500_000
 
 def tidy(text: str) -> str:
     """Lower case without accents, outer brackets and stops, one space between words, digits of references as 0."""
@@ -81,64 +46,69 @@ def _encloses(text: str) -> bool:
     return False
 
 
-def edits(a: str, b: str) -> int:
-    """Levenshtein distance, a true metric."""
-    if len(a) < len(b):
-        a, b = b, a
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+def places(word: str) -> dict[str, int]:
+    """For each letter of a word the places it stands at, as bits."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(word):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def edits(a: str, b: str, of_a: dict[str, int] | None = None) -> int:
+    """Levenshtein distance, a true metric; a whole column of the table is held in the bits of two numbers.
+
+    of_a: places(a), if a is compared with many words.
+    """
+    if not a:
+        return len(b)
+    of_a = of_a or places(a)
+    every, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, distance = every, 0, len(a)
+    for c in b:
+        same = of_a.get(c, 0)
+        level = same | down
+        across = (((same & up) + up) ^ up) | same
+        more, less = down | (every & ~(across | up)), up & across
+        distance += bool(more & last) - bool(less & last)
+        more, less = (more << 1) | 1, less << 1
+        up, down = (less | ~(level | more)) & every, more & level & every
+    return distance
 
 
 class BKTree:
-    """Spellings with their entries; a child hangs under its parent by their distance."""
+    """Spellings with their entries; a child hangs under its parent by their distance.
+
+    The nodes are a flat list, children being places in it, so that a tree of any depth can be sent to tasks.
+    """
 
     def __init__(self) -> None:
-        self.root: list | None = None
+        self.nodes: list[tuple[str, set[int], dict[int, int]]] = []
 
     def add(self, word: str, entry: int) -> None:
-        if self.root is None:
-            self.root = [word, {entry}, {}]
-            return
-        node = self.root
-        while True:
-            d = edits(word, node[0])
+        at = 0 if self.nodes else None
+        while at is not None:
+            own, entries, children = self.nodes[at]
+            d = edits(word, own)
             if d == 0:
-                node[1].add(entry)
+                entries.add(entry)
                 return
-            if d not in node[2]:
-                node[2][d] = [word, {entry}, {}]
-                return
-            node = node[2][d]
+            at = children.setdefault(d, len(self.nodes))
+            if at == len(self.nodes):
+                break
+        self.nodes.append((word, {entry}, {}))
 
     def within(self, word: str, limit: int) -> list[tuple[int, str, set[int]]]:
         """(distance, spelling, entries) of every spelling within the limit."""
-        found, heap = [], [self.root] if self.root else []
-        while heap:
-            node = heap.pop()
-            d = edits(word, node[0])
+        found, open_, of_word = [], [0] if self.nodes else [], places(word)
+        while open_:
+            own, entries, children = self.nodes[open_.pop()]
+            d = edits(word, own, of_word)
             if d <= limit:
-                found.append((d, node[0], node[1]))
-            heap += [child for gap, child in node[2].items() if d - limit <= gap <= d + limit]
+                found.append((d, own, entries))
+            open_ += [child for gap, child in children.items() if d - limit <= gap <= d + limit]
         return found
 
 
-def spellings(field: str, canonical: str, description: str | None) -> list[str]:
-    known = SYNONYMS.get(field, {})
-    out = [canonical] + ([description] if description else []) + [s for s in known.get(canonical, "").split("|") if s]
-    if (m := re.fullmatch(r"[Nn]et (\d+)", canonical)) and "Net n" in known:
-        n = int(m[1])
-        words = NUMBER_WORDS.get(n, ("", ""))
-        for form in known["Net n"].split("|"):
-            if ("{w}" in form and not words[0]) or ("{s}" in form and not words[1]):
-                continue
-            out.append(form.format(n=n, w=words[0], s=words[1]))
-    return [t for t in dict.fromkeys(map(tidy, out)) if t]
-
-
 def threshold(word: str) -> int:
     """Edits within which every spelling lies that `meant` may accept: two for each slip, as a swap is two edits.
 
@@ -149,13 +119,15 @@ def threshold(word: str) -> int:
 
 def _slips(word: str, spelling: str) -> int:
     """Slips of the hand: as edits, but a swap of neighbours or a doubled letter is one."""
-    from paperloom.llm.segment_join import banded
-
     return banded(word, spelling, 3)
 
 
 def meant(tree: BKTree, word: str) -> tuple[int, int]:
-    """(entry or 0, distance). Numbers must agree exactly, and short spellings allow one slip at most."""
+    """(entry or 0, distance). Numbers must agree exactly, and short spellings allow one slip at most.
+
+    Codes of three letters are near each other as they are: in one, a letter put in or two changed places are
+    taken for a slip, another letter or a missing one is not.
+    """
     best: dict[int, set[int]] = {}
     digits = re.findall(r"\d+", word)
     for d, spelling, entries in tree.within(word, threshold(word)):
@@ -171,59 +143,70 @@ def meant(tree: BKTree, word: str) -> tuple[int, int]:
     return (next(iter(best[least])) if len(best[least]) == 1 else 0), least
 
 
-def map_values(values: DataFrame, reference: DataFrame, max_entries: int = 200_000, shards: int = 0) -> DataFrame:
+def map_values(values: DataFrame, reference: DataFrame, names: DataFrame | None = None, max_entries: int = 20_000, shards: int = 0) -> DataFrame:
     """(field, value, ref_id, distance): every distinct non-blank value with its entry, 0 if none.
 
-    values: field, value. reference: ref_id, field, canonical, description. A list of up to max_entries
-    rows (counted first) is broadcast as one tree a field. A longer one is cut into shards: each value
-    meets each shard in a task of its own and the nearest winner of all shards counts.
+    values: field, value. reference: ref_id, field, canonical, description. names: ref_id, name, other names of
+    entries. A list of up to max_entries spellings (counted first) makes one tree a field, grown once and
+    broadcast. A longer one is cut into shards: each value meets the tree of each shard in a task of its own,
+    and the winners of all shards are merged: an exact canonical value first, then the fewest slips.
     """
     spark = values.sparkSession
     distinct = values.select("field", "value").where("field is not null and value is not null and value rlike '[^ \\\\s]'").distinct()
     reference = reference.select("ref_id", "field", "canonical", "description").where("ref_id is not null and field is not null and canonical is not null")
-    size = reference.limit(max_entries + 1).count()
+    every = reference.select("ref_id", "field", F.col("canonical").alias("spelling"), F.lit(True).alias("exact"))
+    every = every.unionByName(reference.where("description is not null").select("ref_id", "field", F.col("description").alias("spelling"), F.lit(False).alias("exact")))
+    if names is not None:
+        known = names.where("name is not null").join(reference.select("ref_id", "field"), "ref_id")
+        every = every.unionByName(known.select("ref_id", "field", F.col("name").alias("spelling"), F.lit(False).alias("exact")))
+    size = every.limit(max_entries + 1).count()
+    # few bytes but much work a row: an explicit number of partitions is not coalesced away
+    spread = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     if size <= max_entries and not shards:
-        rows = [tuple(r) for r in reference.orderBy("ref_id").collect()]
-        held = spark.sparkContext.broadcast(rows)
+        held = spark.sparkContext.broadcast(grow([tuple(r) for r in every.collect()]))
 
         def lookup(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            trees, exact = grow(held.value)
+            trees, exact = held.value
             for batch in batches:
                 out = [(f, v, *find(trees, exact, f, v)) for f, v in zip(batch["field"], batch["value"])]
                 yield pd.DataFrame(out, columns=["field", "value", "ref_id", "distance"])
 
-        return distinct.mapInPandas(lookup, "field string, value string, ref_id int, distance int")
+        return distinct.repartition(spread, "field", "value").mapInPandas(lookup, "field string, value string, ref_id int, distance int")
 
-    parts = shards or -(-size // max_entries) * 4
-    if not shards:
-        parts = max(parts, -(-reference.count() // max_entries))
-    left = distinct.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(64)).cast("int"))
-    right = reference.withColumn("shard", F.pmod(F.xxhash64("ref_id"), F.lit(parts)).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    distinct = cut(distinct)
+    parts = shards or -(-every.count() // max_entries)
+    salts = max(1, -(-distinct.count() // SHARD_VALUES))
+    left = distinct.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(salts)).cast("int"))
+    # spellings of one text stay together, so that what is equal is seen to be
+    right = every.withColumn("shard", F.pmod(F.xxhash64("spelling"), F.lit(parts)).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
     def shard_lookup(words: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
-        trees, exact = grow(list(entries[["ref_id", "field", "canonical", "description"]].itertuples(index=False, name=None)))
-        out = [(f, v, *find(trees, exact, f, v)) for f, v in zip(words["field"], words["value"])]
-        return pd.DataFrame(out, columns=["field", "value", "ref_id", "distance"])
-
-    found = left.groupBy("shard", "salt").cogroup(right.groupBy("shard", "salt")).applyInPandas(shard_lookup, "field string, value string, ref_id int, distance int")
-    least = found.groupBy("field", "value").agg(F.min(F.when(F.col("distance") >= 0, F.col("distance"))).alias("least"))
-    near = (
-        found.join(least, ["field", "value"])
-        .where("distance = least")
-        .groupBy("field", "value")
-        .agg(F.min("ref_id").alias("low"), F.max("ref_id").alias("high"), F.first("least").alias("distance"))
-    )
-    return least.join(near, ["field", "value"], "left").select(
-        "field", "value", F.coalesce(F.when(F.col("low") == F.col("high"), F.col("low")), F.lit(0)).alias("ref_id"), F.coalesce("distance", F.lit(-1)).alias("distance")
+        trees, exact = grow(list(entries[["ref_id", "field", "spelling", "exact"]].itertuples(index=False, name=None)))
+        out = [(f, v, *find(trees, exact, f, v), (f, v) in exact) for f, v in zip(words["field"], words["value"])]
+        return pd.DataFrame(out, columns=["field", "value", "ref_id", "distance", "exact"])
+
+    found = left.groupBy("shard", "salt").cogroup(right.groupBy("shard", "salt")).applyInPandas(shard_lookup, "field string, value string, ref_id int, distance int, exact boolean")
+    rank = F.when(F.col("exact"), -1).when(F.col("distance") >= 0, F.col("distance"))
+    winner = found.withColumn("rank", rank).where("rank is not null").groupBy("field", "value", "rank").agg(F.min("ref_id").alias("low"), F.max("ref_id").alias("high"))
+    best = winner.groupBy("field", "value").agg(F.min_by(F.struct("rank", "low", "high"), "rank").alias("b"))
+    ref_id = F.when((F.col("b.rank") == -1) | (F.col("b.low") == F.col("b.high")), F.col("b.low"))
+    return distinct.join(best, ["field", "value"], "left").select(
+        "field", "value", F.coalesce(ref_id, F.lit(0)).alias("ref_id"), F.when(F.col("b.rank").isNull(), -1).otherwise(F.greatest(F.col("b.rank"), F.lit(0))).alias("distance")
     )
 
 
-def grow(rows: list[tuple]) -> tuple[dict[str, BKTree], dict[tuple[str, str], int]]:
+Trees = tuple[dict[str, BKTree], dict[tuple[str, str], int]]
+
+
+def grow(rows: list[tuple]) -> Trees:
+    """(a tree a field, entries of the exact canonical values) from (ref_id, field, spelling, whether it is canonical)."""
     trees: dict[str, BKTree] = {}
     exact: dict[tuple[str, str], int] = {}
-    for ref_id, field, canonical, description in rows:
-        exact.setdefault((field, canonical), int(ref_id))
-        for word in spellings(field, canonical, description):
+    # in a fixed order, so that the tree is the same wherever it is grown
+    for ref_id, field, spelling, canonical in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+        if canonical:
+            exact[field, spelling] = min(int(ref_id), exact.get((field, spelling), int(ref_id)))
+        if word := tidy(spelling):
             trees.setdefault(field, BKTree()).add(word, int(ref_id))
     return trees, exact
 

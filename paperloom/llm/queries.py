@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from paperloom.llm.canonical import map_values
 from paperloom.llm.mixing import mix_sources
 from paperloom.llm.names import link_names, name_pairs
+from paperloom.llm.other_names import other_name_table
 from paperloom.llm.packing import count_tokens, fill_containers
 from paperloom.llm.personal import redact_texts
 from paperloom.llm.pieces import split_documents
@@ -83,13 +84,14 @@ def _free_values(spark: SparkSession, d: str) -> DataFrame:
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     values, reference = _free_values(spark, d), table(spark, d, "ref_values")
     typed = values.where("trace_id is not null").join(reference.select("field", F.col("canonical").alias("value")), ["field", "value"], "left_anti")
-    return typed.join(map_values(typed, reference), ["field", "value"]).select("trace_id", "field", "ref_id").distinct()
+    return typed.join(map_values(typed, reference, other_name_table(reference)), ["field", "value"]).select("trace_id", "field", "ref_id").distinct()
 
 
 def p6_unmatched(spark: SparkSession, d: str) -> DataFrame:
     """Values that mean no entry, with the number of their rows."""
     values = _free_values(spark, d)
-    none = map_values(values, table(spark, d, "ref_values")).where("ref_id = 0")
+    reference = table(spark, d, "ref_values")
+    none = map_values(values, reference, other_name_table(reference)).where("ref_id = 0")
     return values.join(none, ["field", "value"]).groupBy("field", "value").agg(F.count("*").alias("n_rows"))
 
 

@@ -5,6 +5,7 @@ import random
 
 from paperloom.llm.canonical import find, grow
 from paperloom.llm.names import compare_persons, join_keys, link_names, name_pairs, parse_person
+from paperloom.llm.other_names import other_names
 from paperloom.llm.segment_join import OTHER_ROLE, banded
 
 
@@ -25,7 +26,7 @@ def test_relatives_with_long_surnames_stay_apart(spark):
 
 
 def test_two_slips_may_both_be_swaps():
-    entries = [(1, "payment_method", "cash", None), (3, "payment_method", "transfer", None)]
+    entries = [(i, "payment_method", n, n == c) for i, c in ((1, "cash"), (3, "transfer")) for n in (c, *other_names("payment_method", c))]
     for value in ("bakn tranfer", "bakn trasnfer", "transferecnia bancraia", "Bank transfer"):
         assert find(*grow(entries), "payment_method", value)[0] == 3, value
     assert find(*grow(entries), "payment_method", "cahs")[0] == 1 and find(*grow(entries), "payment_method", "bakn tarnfer")[0] == 0
