@@ -160,7 +160,8 @@ def map_values(values: DataFrame, reference: DataFrame, names: DataFrame | None
         known = names.where("name is not null").join(reference.select("ref_id", "field"), "ref_id")
         every = every.unionByName(known.select("ref_id", "field", F.col("name").alias("spelling"), F.lit(False).alias("exact")))
     size = every.limit(max_entries + 1).count()
-    # few bytes but much work a row: an explicit number of partitions is not coalesced away
+    # few bytes but much work a row: a stated number of partitions, by something the rows are not partitioned by yet,
+    # is neither coalesced nor dropped
     spread = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     if size <= max_entries and not shards:
         held = spark.sparkContext.broadcast(grow([tuple(r) for r in every.collect()]))
@@ -171,7 +172,7 @@ def map_values(values: DataFrame, reference: DataFrame, names: DataFrame | None
                 out = [(f, v, *find(trees, exact, f, v)) for f, v in zip(batch["field"], batch["value"])]
                 yield pd.DataFrame(out, columns=["field", "value", "ref_id", "distance"])
 
-        return distinct.repartition(spread, "field", "value").mapInPandas(lookup, "field string, value string, ref_id int, distance int")
+        return distinct.repartition(spread, F.xxhash64("value", "field")).mapInPandas(lookup, "field string, value string, ref_id int, distance int")
 
     distinct = cut(distinct)
     parts = shards or -(-every.count() // max_entries)

@@ -432,7 +432,7 @@ def link_names(names: DataFrame) -> DataFrame:
     records = parsed.select("rid", "fullness").distinct()
     # few bytes but much work a row: an explicit number of partitions is not coalesced away
     spread = max(names.sparkSession.sparkContext.defaultParallelism, int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    keys = records.select("rid").repartition(spread, "rid").mapInPandas(_key_batches, "space string, key string, k int, role string, rid string")
+    keys = records.select("rid").repartition(spread, F.xxhash64("rid")).mapInPandas(_key_batches, "space string, key string, k int, role string, rid string")
     verified = cut(segment_join(keys).mapInPandas(_verify_batches, "verdict string, a string, b string").distinct())
 
     same = connected_components(verified.where("verdict = 'same'"))

@@ -78,16 +78,17 @@ def pack(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return where, np.array(fills, dtype=np.int64)
 
 
-def fill_containers(sizes: DataFrame, capacity: int, shard_tokens: int = 40_000_000) -> DataFrame:
+def fill_containers(sizes: DataFrame, capacity: int, shard_tokens: int = 40_000_000, shard_rows: int = 1_000_000) -> DataFrame:
     """(id, part, container bigint, size, from_token): every item, or part of an oversized one, with its container.
 
     sizes: id, size. Parts count from 1; only an item larger than the capacity has more than one.
-    The number of shards follows from the total size (shard_tokens each).
+    The number of shards follows from the total size and the number of items (shard_tokens, and no more than
+    about shard_rows, each).
     """
     sizes = sizes.select("id", F.coalesce("size", F.lit(0)).alias("size"))
     sizes = cut(sizes)
-    total = sizes.agg(F.sum(F.col("size").cast("long"))).first()[0] or 0
-    shards = max(1, -(-total // shard_tokens))
+    held = sizes.agg(F.sum(F.col("size").cast("long")).alias("tokens"), F.count("*").alias("rows")).first()
+    shards = max(1, -(-(held["tokens"] or 0) // shard_tokens), -(-held["rows"] // shard_rows))
     id_type = sizes.schema["id"].dataType.simpleString()
     columns = ["id", "part", "container", "size", "from_token"]
 

@@ -38,9 +38,9 @@ def boundary_strengths(text: str, spans: list[tuple[int, int]]) -> list[int]:
         if not gap:
             continue
         lines = gap.count("\n") or gap.count("\r")
-        if lines >= 2 or " " in gap:
+        if lines >= 2 or "\u2029" in gap:
             out[i] = 4
-        elif lines == 1 or " " in gap:
+        elif lines == 1 or "\u2028" in gap:
             out[i] = 3
         else:
             out[i] = 2 if _SENTENCE_END.search(text[spans[i - 1][0] : spans[i - 1][1]]) else 1

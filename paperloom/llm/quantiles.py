@@ -15,9 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.session import cut
+
 #: Items of one section of a compactor; the error of a rank is about 1/K of the items above it.
 K = 64
 
@@ -191,6 +193,27 @@ def read_quantiles(sketches: DataFrame, groups: list[str], shares: dict[str, flo
 
 
 def exact_quantiles(df: DataFrame, groups: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """Exact percentiles from counts of each value, pre-aggregated so that a hot group shrinks to its different values."""
-    counted = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("__n"))
-    return counted.groupBy(*groups).agg(*[F.expr(f"percentile(`{value}`, {p}D, __n)").alias(n) for n, p in shares.items()])
+    """(*groups, and a column for each name of shares): exact percentiles, interpolated between the two ranks next to them.
+
+    The values are counted first. The different values are then cut into ranges, whose sums tell in which of them
+    each rank lies, and only there running sums are taken: no group's values are ever in one task. Groups without
+    values have no row; nulls and NaN are left out.
+    """
+    counted = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*groups, value).agg(F.count("*").alias("__n"))
+    ranged = cut(cut(counted).repartitionByRange(*groups, value).withColumn("__part", F.spark_partition_id()))
+    parts = ranged.groupBy(*groups, "__part").agg(F.sum("__n").alias("__held"))
+    before = Window.partitionBy(*groups).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = parts.withColumns({"__base": F.coalesce(F.sum("__held").over(before), F.lit(0)), "__all": F.sum("__held").over(Window.partitionBy(*groups))})
+    wanted = [F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), (F.floor if side == 0 else F.ceil)(F.lit(p) * (F.col("__all") - 1)).cast("long").alias("rank")) for name, p in shares.items() for side in (0, 1)]
+    ranks = placed.select(*groups, "__part", "__base", "__held", "__all", F.explode(F.array(*wanted)).alias("w")).where("w.rank >= __base and w.rank < __base + __held")
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"v.{c}")) for c in (*groups, "__part")]
+    inside = Window.partitionBy(*groups, "__part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    needed = ranged.alias("v").join(ranks.select(*groups, "__part").distinct().alias("r"), same, "left_semi").withColumn("__to", F.sum("__n").over(inside))
+    hit = F.col("w.rank") - F.col("__base")
+    found = ranks.alias("r").join(needed.alias("v"), same).where((F.col("__to") > hit) & (F.col("__to") - F.col("__n") <= hit)).select(*[F.col(f"r.{c}").alias(c) for c in groups], "__all", "w.name", "w.side", F.col(f"v.{value}").cast("double").alias("at"))
+    out = []
+    for name, p in shares.items():
+        low, high = (F.max(F.when((F.col("name") == name) & (F.col("side") == side), F.col("at"))) for side in (0, 1))
+        rest = F.lit(p) * (F.max("__all") - 1) - F.floor(F.lit(p) * (F.max("__all") - 1))
+        out.append((low + (high - low) * rest).alias(name))
+    return found.groupBy(*groups).agg(*out)
