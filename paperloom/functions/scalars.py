@@ -170,6 +170,26 @@ def json_object(text: Column) -> Column:
     return F.when(F.schema_of_variant(F.try_parse_json(inner)).startswith("OBJECT"), inner)
 
 
+def trace_id(key: Column | None = None) -> Column:
+    """32 hexadecimal characters: always the same for a key, or a new one for each row without."""
+    return F.replace(F.uuid(), F.lit("-"), F.lit("")) if key is None else F.md5(key.cast("string"))
+
+
+def today_iso() -> Column:
+    return F.current_date().cast("string")
+
+
+def cost_usd(input_tokens: Column, output_tokens: Column, input_price: float, output_price: float) -> Column:
+    """What tokens cost at prices a million, which the caller states; rounded to six digits."""
+    millionths = input_tokens.cast("decimal(18,0)") * F.lit(str(input_price)).cast("decimal(12,6)") + output_tokens.cast("decimal(18,0)") * F.lit(str(output_price)).cast("decimal(12,6)")
+    return F.round(millionths / 1_000_000, 6).cast("double")
+
+
+def split_list(text: Column) -> Column:
+    """The parts of a comma-separated list, trimmed, without empty ones."""
+    return F.filter(F.transform(F.split(text, ","), lambda p: F.btrim(p)), lambda p: p != "")
+
+
 def values_match(name: Column, predicted: Column, truth: Column) -> Column:
     """Whether two values of a field agree, by its kind; null and empty values never do."""
     p, t = predicted, truth

@@ -11,15 +11,26 @@ from paperloom.dims import DOC_TYPES, KEYWORDS, MAX_HITS
 from paperloom.functions.scalars import bind
 
 
+def needed_texts(pattern: str) -> list[str]:
+    """Plain texts of which a match of a keyword's pattern holds at least one: a cheap look before the pattern."""
+    plain = pattern.replace(r"\b", "").removesuffix(r"\s*")
+    head, _, choice = plain.partition("(?:")
+    return [head] if head else choice.rstrip(")").split("|")
+
+
+def _hits(low: Column, pattern: str) -> Column:
+    """How often a pattern is found; most texts hold few keywords, and looking for plain text costs little."""
+    present = reduce(lambda a, b: a | b, [low.contains(t) for t in needed_texts(pattern)])
+    return F.when(present, F.least(F.regexp_count(low, F.lit("(?U)" + pattern)), F.lit(MAX_HITS))).otherwise(0)
+
+
 def keyword_scores(text: Column) -> Column:
     """map<type, score>: the weights of the patterns found, each counted at most three times."""
-    low = F.lower(F.coalesce(text, F.lit("")))
 
-    def score(doc_type: str) -> Column:
-        hits = [F.least(F.regexp_count(low, F.lit("(?U)" + p)), F.lit(MAX_HITS)) * F.lit(w) for p, w in KEYWORDS[doc_type]]
-        return F.round(reduce(lambda a, b: a + b, hits), 3)
+    def score(low: Column, doc_type: str) -> Column:
+        return F.round(reduce(lambda a, b: a + b, [_hits(low, p) * F.lit(w) for p, w in KEYWORDS[doc_type]]), 3)
 
-    return F.create_map(*[x for t in DOC_TYPES for x in (F.lit(t), score(t))])
+    return bind(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.create_map(*[x for t in DOC_TYPES for x in (F.lit(t), score(low, t))]))
 
 
 def best_type(scores: Column) -> Column:

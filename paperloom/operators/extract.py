@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.dims import CURRENCY_CODES, DATE_FIELDS, FIELDS, LABELS, NUMERIC_FIELDS, PAYMENT_METHODS
-from paperloom.functions.scalars import SPACES, TRIMMED, collapse, currency_in_text, group, normalize_amount, normalize_date
+from paperloom.functions.scalars import SPACES, TRIMMED, bind, collapse, currency_in_text, group, normalize_amount, normalize_date
 from paperloom.operators.classify import classify
 from paperloom.operators.layout import elements, key_values
 
@@ -32,6 +32,10 @@ CONTRACT_RULES = {
 }
 
 
+#: The name under which a document itself goes through the extraction.
+DOCUMENT = "\ue000document"
+
+
 @cache
 def label_rows() -> list[tuple[str, str, int, str]]:
     """(doc_type, field, rank, normalised label), in the order of the types' fields."""
@@ -71,7 +75,9 @@ def _rules(doc_type: Column, text: Column, elems: Column) -> Column:
     found: list[Column] = []
 
     def rule(types: tuple[str, ...], field: str, raw: Column, confidence: float) -> None:
-        found.append(F.when(doc_type.isin(*types) & raw.isNotNull(), F.struct(F.lit(field).alias("field"), raw.alias("raw"), F.lit(confidence).alias("confidence"), F.lit(len(found)).alias("ord"))))
+        entry = lambda r: F.when(r.isNotNull(), F.struct(F.lit(field).alias("field"), r.alias("raw"), F.lit(confidence).alias("confidence"), F.lit(at).alias("ord")))
+        at = len(found)
+        found.append(F.when(doc_type.isin(*types), bind(raw, entry)))
 
     head = F.filter(F.slice(elems, 1, 6), lambda e: e["category"].isin("Title", "NarrativeText") & ~e["text"].rlike(DOCUMENT_WORDS) & ~e["text"].rlike(r"(?U)\d") & (F.size(F.split(e["text"], SPACES)) <= 6) & e["text"].rlike(r"^\p{Lu}"))
     title = F.filter(F.slice(elems, 1, 5), lambda e: e["category"] == "Title")
@@ -97,9 +103,12 @@ def with_candidates(docs: DataFrame) -> DataFrame:
     return staged.select("doc_id", "doc_type", key_values(F.col("elements")).alias("pairs"), _rules(F.col("doc_type"), F.coalesce("text", F.lit("")), F.col("elements")).alias("rules"))
 
 
-def extract_fields(docs: DataFrame) -> DataFrame:
+def extract_fields(docs: DataFrame, with_documents: bool = False) -> DataFrame:
     """(doc_id, doc_type, name, value_str, value_num, confidence, source): at most one row a document and field.
 
+    With with_documents, a row with a null name for each document as well, so that one pass over the texts
+    tells the documents' types too.
+
     docs: doc_id, text, doc_type (null: classified here). A document is known by doc_id; of several rows
     with one doc_id all candidates count together.
     """
@@ -116,6 +125,7 @@ def extract_fields(docs: DataFrame) -> DataFrame:
             F.concat(
                 F.transform("pairs", lambda p: F.struct(p["pos"], p["nkey"], p["value"], F.lit(None).cast("string").alias("field"), F.lit(None).cast("double").alias("confidence"))),
                 F.transform("rules", lambda r: F.struct((r["ord"] + 1_000_000).alias("pos"), F.lit(None).cast("string").alias("nkey"), r["raw"].alias("value"), r["field"], r["confidence"])),
+                *([F.array(F.struct(F.lit(0).alias("pos"), F.lit(None).cast("string").alias("nkey"), F.lit(DOCUMENT).alias("value"), F.lit(DOCUMENT).alias("field"), F.lit(1.0).alias("confidence")))] if with_documents else []),
             )
         ).alias("c"),
     ).select("doc_id", "doc_type", "c.*")
@@ -147,12 +157,40 @@ def extract_fields(docs: DataFrame) -> DataFrame:
     raw = F.when(F.col("by_rule"), F.col("h.raw")).otherwise(F.btrim("h.raw"))
     # the generator keeps the reading in one place of the plan: nothing above it is pushed into it
     as_found = F.struct(raw.alias("value_str"), F.lit(None).cast("double").alias("value_num"), F.lit(0.0).alias("penalty"))
-    value = F.when(F.col("by_rule") & F.col("name").isin("vendor", "title", "parties"), as_found).otherwise(coerce(F.col("name"), raw))
+    value = F.when(F.col("by_rule") & F.col("name").isin("vendor", "title", "parties", DOCUMENT), as_found).otherwise(coerce(F.col("name"), raw))
     read = first.select("doc_id", "doc_type", "name", "by_rule", F.col("h.confidence").alias("base"), F.inline(F.array(value)))
     good = read.where("coalesce(value_str, '') <> '' or value_num is not null")
     best = good.groupBy("doc_id", "doc_type", "name").agg(F.min_by(F.struct("value_str", "value_num", "base", "penalty"), "by_rule").alias("u"))
     confidence = F.round(F.least(F.lit(0.98), F.greatest(F.lit(0.05), F.col("u.base") - F.col("u.penalty"))), 3)
-    return best.select("doc_id", "doc_type", "name", F.col("u.value_str").alias("value_str"), F.col("u.value_num").alias("value_num"), confidence.alias("confidence"), F.lit("regex").alias("source"))
+    name = F.nullif(F.col("name"), F.lit(DOCUMENT)) if with_documents else F.col("name")
+    return best.select("doc_id", "doc_type", name.alias("name"), F.col("u.value_str").alias("value_str"), F.col("u.value_num").alias("value_num"), confidence.alias("confidence"), F.lit("regex").alias("source"))
+
+
+def extract_with_answers(docs: DataFrame, source: str = "extractor") -> tuple[DataFrame, DataFrame]:
+    """(fields, methods) of docs (doc_id, doc_type, text, answer): a model's answer where it can be used, else the text's fields.
+
+    methods: doc_id, method: 'model', 'heuristic' (no answer was given) or 'heuristic_after_bad_answer'.
+    """
+    good = F.coalesce(usable_answer(F.col("answer")), F.lit(False))
+    method = F.when(F.col("answer").isNull(), "heuristic").when(good, "model").otherwise("heuristic_after_bad_answer")
+    told = docs.withColumn("method", method)
+    said = fields_from_answer(told.where("method = 'model'").select("doc_id", "doc_type", "answer"), source=source)
+    read = extract_fields(told.where("method <> 'model'").select("doc_id", "doc_type", "text"))
+    return said.select(*read.columns).unionByName(read), told.select("doc_id", "method")
+
+
+_ANSWER = "struct<fields:array<struct<name:string,value:string,confidence:string>>>"
+
+
+def usable_answer(answer: Column) -> Column:
+    """Whether an answer has a list of fields of which no confidence is anything but a number in 0..1; null for no JSON."""
+    return bind(F.from_json(answer, _ANSWER)["fields"], lambda f: ~F.exists(f, lambda e: e["confidence"].isNotNull() & ~F.coalesce(e["confidence"].try_cast("double").between(0, 1), F.lit(False))))
+
+
+def prompt(doc_type: Column, text: Column, max_chars: int = 12_000) -> Column:
+    """What a model is asked: the fields of the type and the text, no longer than a model is given."""
+    names = F.create_map(*[x for t, fields in FIELDS.items() for x in (F.lit(t), F.lit(", ".join(fields)))])
+    return F.format_string("Read these fields of a %s as JSON {\"fields\": [{\"name\", \"value\", \"confidence\"}]}: %s\n\n%s", doc_type, F.try_element_at(names, doc_type), F.substring(text, 1, max_chars))
 
 
 def fields_from_answer(answers: DataFrame, id_col: str = "doc_id", source: str = "extractor") -> DataFrame:
@@ -161,14 +199,12 @@ def fields_from_answer(answers: DataFrame, id_col: str = "doc_id", source: str =
     answers: id, doc_type, answer: {"fields": [{"name", "value", "confidence"}]}. Unknown names and null or
     empty values are left out; a confidence that is no number in 0..1 rejects the whole answer.
     """
-    shape = "struct<fields:array<struct<name:string,value:string,confidence:string>>>"
-    parsed = answers.select(id_col, "doc_type", F.from_json("answer", shape)["fields"].alias("f"))
-    bad = F.exists("f", lambda e: e["confidence"].isNotNull() & ~F.coalesce(e["confidence"].try_cast("double").between(0, 1), F.lit(False)))
-    rows = parsed.where(~F.coalesce(bad, F.lit(True))).select(id_col, "doc_type", F.posexplode("f").alias("pos", "e"))
+    parsed = answers.where(F.coalesce(usable_answer(F.col("answer")), F.lit(False))).select(id_col, "doc_type", F.from_json("answer", _ANSWER)["fields"].alias("f"))
+    rows = parsed.select(id_col, "doc_type", F.posexplode("f").alias("pos", "e"))
     allowed = label_table(answers.sparkSession).select("doc_type", F.col("field").alias("name")).distinct()
     rows = rows.select(id_col, "doc_type", "pos", F.col("e.name").alias("name"), F.col("e.value").alias("raw"), F.coalesce(F.col("e.confidence").try_cast("double"), F.lit(0.7)).alias("confidence"))
     rows = rows.where("raw is not null and raw <> ''").join(F.broadcast(allowed), ["doc_type", "name"], "left_semi")
     number = F.when(F.col("name").isin(*NUMERIC_FIELDS), F.coalesce(F.col("raw").try_cast("double"), normalize_amount(F.col("raw")))).when(F.col("name") == "term_months", F.floor(F.col("raw").try_cast("double")).cast("double"))
     text = F.when(F.col("name").isin(*NUMERIC_FIELDS, "term_months"), F.lit(None)).when(F.col("name").isin(*DATE_FIELDS), F.coalesce(normalize_date(F.col("raw")), "raw")).otherwise(F.col("raw"))
     out = rows.select(id_col, "doc_type", "name", "pos", text.cast("string").alias("value_str"), number.alias("value_num"), F.round("confidence", 3).alias("confidence"), F.lit(source).alias("source"))
-    return out.where("value_str is not null or value_num is not null").drop("pos")
+    return out.where("value_str is not null or value_num is not null")

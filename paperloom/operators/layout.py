@@ -25,39 +25,58 @@ def lines(text: Column) -> Column:
     return F.when((F.size(parts) > 0) & (F.element_at(parts, -1) == ""), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
+#: White space as the JVM's Unicode classes have it, for trimming without a pattern.
+BLANKS = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_CUT = "\ue000"
+
+
+def bare_line(line: Column) -> Column:
+    return F.btrim(line, F.lit(BLANKS))
+
+
+def read_pair(bare: Column) -> Column:
+    """struct<key, value> of a line that is a pair, by one match of the pattern; null for any other line.
+
+    The match puts a mark between key and value; a key never holds the mark, so the first one is it.
+    """
+    colon = bare.contains(":") | bare.contains("：")
+
+    def halves(marked: Column) -> Column:
+        return F.when(marked != bare, F.struct(F.btrim(F.substring_index(marked, _CUT, 1)).alias("key"), F.btrim(F.substr(marked, F.instr(marked, _CUT) + 1)).alias("value")))
+
+    return F.when(colon, bind(F.regexp_replace(bare, PAIR, f"$1{_CUT}$2"), halves))
+
+
 def _words(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""))
 
 
 def category(line: Column) -> Column:
     """Title, KeyValue, ListItem, NarrativeText, Table or Other, the first that fits."""
-    text = F.btrim(line)
-    bare = F.regexp_replace(line, r"(?U)^\s+|\s+$", "")
-    pair = bare.rlike(PAIR) & (F.length(group(bare, PAIR, 2)) <= LONGEST_VALUE)
-    title = (_words(bare) <= 8) & (((F.upper(bare) == bare) & (F.lower(bare) != bare)) | (bare.rlike(TITLE_CASE) & ~bare.endswith(".")))
+    return bind(bare_line(line), lambda bare: _category(bare, read_pair(bare)))
+
+
+def _category(bare: Column, pair: Column) -> Column:
+    title = ((F.upper(bare) == bare) & (F.lower(bare) != bare)) | (bare.rlike(TITLE_CASE) & ~bare.endswith("."))
     return (
-        F.when(F.coalesce(bare, text, F.lit("")) == "", "Other")
-        .when(pair, "KeyValue")
-        .when(line.rlike(ITEM), "ListItem")
-        .when(line.rlike(COLUMNS) & (_words(bare) >= 3), "Table")
-        .when(title, "Title")
+        F.when(F.coalesce(bare, F.lit("")) == "", "Other")
+        .when(F.coalesce(F.length(pair["value"]) <= LONGEST_VALUE, F.lit(False)), "KeyValue")
+        .when(bare.rlike(ITEM), "ListItem")
+        .when(bare.rlike(COLUMNS) & (_words(bare) >= 3), "Table")
+        .when(title & (_words(bare) <= 8), "Title")
         .otherwise("NarrativeText")
     )
 
 
 def element(line: Column) -> Column:
-    bare = F.regexp_replace(line, r"(?U)^\s+|\s+$", "")
-
-    def build(kind: Column) -> Column:
-        is_pair = kind == "KeyValue"
-        return F.struct(
-            kind.alias("category"),
-            bare.alias("text"),
-            F.when(is_pair, F.btrim(group(bare, PAIR, 1))).alias("key"),
-            F.when(is_pair, F.btrim(group(bare, PAIR, 2))).alias("value"),
-        )
+    def build(bare: Column) -> Column:
+        return bind(F.struct(read_pair(bare).alias("pair")), lambda held: of_pair(bare, held["pair"]))
+
+    def of_pair(bare: Column, pair: Column) -> Column:
+        kind = _category(bare, pair)
+        return bind(kind, lambda k: F.struct(k.alias("category"), bare.alias("text"), F.when(k == "KeyValue", pair["key"]).alias("key"), F.when(k == "KeyValue", pair["value"]).alias("value")))
 
-    return bind(category(line), build)
+    return bind(bare_line(line), build)
 
 
 _PAIR_TYPE = "array<struct<key:string,value:string>>"
@@ -69,17 +88,18 @@ def split_pairs(line: Column) -> Column:
     One pass from the left holds a key that stands alone until the next cell; a cell without a colon is its
     value. Two pairs, or one whose key stood alone in the first cell, are needed.
     """
-    cells = F.filter(F.transform(F.split(line, GAP), lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")), lambda c: c != "")
+    cells = F.filter(F.transform(F.split(line, GAP), bare_line), lambda c: c != "")
     none = F.lit(None).cast("string")
     pair = lambda k, v: F.struct(F.btrim(k).alias("key"), F.btrim(v).alias("value"))
     start = F.struct(none.alias("held"), F.expr("array()").cast(_PAIR_TYPE).alias("pairs"))
 
     def step(acc: Column, cell: Column) -> Column:
-        full = cell.rlike(PAIR)
-        alone = cell.rlike(KEY_ALONE)
+        return bind(F.struct(read_pair(cell).alias("pair")), lambda held: with_pair(acc, cell, held["pair"]))
+
+    def with_pair(acc: Column, cell: Column, full: Column) -> Column:
         closes = acc["held"].isNotNull() & ~cell.contains(":") & ~cell.contains("：")
-        held = F.when(~full & alone, group(cell, KEY_ALONE)).otherwise(none)
-        added = F.when(full, F.array(pair(group(cell, PAIR, 1), group(cell, PAIR, 2)))).when(closes, F.array(pair(acc["held"], cell))).otherwise(F.expr("array()").cast(_PAIR_TYPE))
+        held = F.when(full.isNull() & cell.rlike(KEY_ALONE), group(cell, KEY_ALONE)).otherwise(none)
+        added = F.when(full.isNotNull(), F.array(full)).when(closes, F.array(pair(acc["held"], cell))).otherwise(F.expr("array()").cast(_PAIR_TYPE))
         return F.struct(held.alias("held"), F.concat(acc["pairs"], added).alias("pairs"))
 
     found = F.aggregate(cells, start, step)["pairs"]
@@ -108,6 +128,25 @@ def explode_elements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return rows.select(id_col, "pos", "e.category", F.col("e.text").alias("text"), "e.key", "e.value")
 
 
+def from_partition(parts: Column) -> Column:
+    """array<struct<category, text, key, value>> from the elements another partitioner gives (array<struct<category, text>>).
+
+    Titles, list items and tables stay what they are; of all else a pair is a pair and the rest is text.
+    """
+
+    def one(part: Column) -> Column:
+        bare = bare_line(part["text"])
+        kept = part["category"].isin("Title", "ListItem", "Table")
+        return bind(
+            F.struct(bare.alias("t"), F.when(~kept, read_pair(bare)).alias("p")),
+            lambda h: F.struct(
+                F.when(kept, part["category"]).when(h["p"].isNotNull(), "KeyValue").otherwise("NarrativeText").alias("category"), h["t"].alias("text"), h["p"]["key"].alias("key"), h["p"]["value"].alias("value")
+            ),
+        )
+
+    return F.filter(F.transform(parts, one), lambda e: e["text"] != "")
+
+
 def key_values(elements_col: Column) -> Column:
     """array<struct<pos, key, nkey, value>> of the pairs with both a key and a value."""
     numbered = F.transform(elements_col, lambda e, i: F.struct(i.alias("pos"), e["category"].alias("category"), e["key"].alias("key"), e["value"].alias("value")))

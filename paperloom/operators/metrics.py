@@ -133,6 +133,17 @@ def recent(df: DataFrame, order: list[str], limit: int) -> DataFrame:
     return df.orderBy(*[F.col(c).desc() for c in order]).limit(limit)
 
 
+def clamped(limit: int, most: int = 100) -> int:
+    """A limit asked for, within 1 and the most that is given out."""
+    return max(1, min(limit, most))
+
+
+def cost_totals(rows: DataFrame, cost: str, has_truth: str) -> DataFrame:
+    """(cost_usd, cost_per_document): the sum, and its part for each document that has a truth."""
+    total = F.sum(F.col(cost).cast("decimal(18,6)"))
+    return rows.agg(F.round(total.cast("double"), 6).alias("cost_usd"), F.round(F.try_divide(total.cast("double"), F.count_if(F.col(has_truth))), 6).alias("cost_per_document"))
+
+
 def ring_stats(df: DataFrame, order: list[str], latency: str, capacity: int = 100) -> DataFrame:
     """(n, mean, p50, p95) of the last `capacity` rows."""
     return latency_stats(recent(df, order, capacity), latency)

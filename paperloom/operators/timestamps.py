@@ -3,7 +3,8 @@
 Every value gets the array of all its valid interpretations (format and local date) in one Arrow pass. Where there are several, a Viterbi path over the records of each source in their order
 chooses, with penalties for a switch of format, a jump back in time and a reading against the policy.
 With the policy day_first, numbers that do not begin with the year are read day first unless that is
-impossible, whatever the neighbours say.
+impossible, and two digits of a year are of this century, whatever the neighbours say; with `learn` these
+are only preferences.
 
 The chains are cut into ranges of (source, order). A range is summarised by the least costs between the
 readings of its first and last record; the summaries of chains that cross ranges, at most two a range, are
@@ -42,9 +43,13 @@ ABBREVIATIONS = {
 }
 
 #: Numbers of the formats; a greater number is no better.
-ISO, COMPACT, DAY_FIRST, MONTH_FIRST, DAY_NAME, NAME_DAY = range(1, 7)
-AGAINST_POLICY, SWITCH, BACKWARD = 1e6, 1.0, 2.0
+ISO, COMPACT, DAY_FIRST, MONTH_FIRST, DAY_NAME, NAME_DAY, EITHER = range(1, 8)
+#: Added to a format's number where two digits of a year are read as one of the last century.
+LAST_CENTURY = 10
+AGAINST_POLICY, SWITCH, BACKWARD, OLD = 1e6, 1.0, 2.0, 0.5
 BACKWARD_DAYS = 45
+#: Rows of one range, which one task decodes in memory.
+RANGE_ROWS = 500_000
 
 _TIME = re.compile(r"^(.*?)(?:[Tt]|,?\s+(?:at |um |a las )?|,)(\d{1,2})\s?[:hH](\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?\s*([AaPp]\.?[Mm]\b\.?)?\s*(.*)$")
 _COMPACT_TIME = re.compile(r"^(\d{8})[Tt ](\d{2})(\d{2})(\d{2})?(?:[.,](\d{1,9}))?()\s*((?:[A-Za-z+\-\[(].*)?)$")
@@ -74,12 +79,13 @@ def _zone(name: str) -> str | None:
     return ABBREVIATIONS.get(name.lower().strip("[]().").replace(".", ""))
 
 
-def _day(y: str, m: int, d: int) -> int | None:
-    """Days since 1970-01-01, or None for no date."""
-    try:
-        return (dt.date(int(y) + (2000 if len(y) == 2 else 0), m, d) - _EPOCH).days
-    except ValueError:
-        return None
+def _days(form: int, y: str, m: int, d: int) -> Iterator[tuple[int, int]]:
+    """(format, days since 1970-01-01) of each year the text may mean; none for no date. Two digits may mean two centuries."""
+    for year, of in [(int(y), form)] if len(y) > 2 else [(2000 + int(y), form), (1900 + int(y), form + LAST_CENTURY)]:
+        try:
+            yield of, (dt.date(year, m, d) - _EPOCH).days
+        except ValueError:
+            pass
 
 
 def _month(name: str) -> int:
@@ -91,21 +97,22 @@ def _month(name: str) -> int:
 def interpretations(text: str) -> list[tuple[int, int]]:
     """(format, day) of every valid reading of a date text, in order of format."""
     text = _WEEKDAY.sub("", text.strip())
-    found: list[tuple[int, int | None]] = []
+    found: list[tuple[int, int]] = []
     if m := _ISO.match(text):
-        found.append((ISO, _day(m[1], int(m[3]), int(m[4]))))
+        found += _days(ISO, m[1], int(m[3]), int(m[4]))
     elif m := _COMPACT.match(text):
-        found.append((COMPACT, _day(m[1], int(m[2]), int(m[3]))))
+        found += _days(COMPACT, m[1], int(m[2]), int(m[3]))
     elif m := _NUMBERS.match(text):
         a, b = int(m[1]), int(m[3])
-        found.append((DAY_FIRST, _day(m[4], b, a)))
-        if a != b:
-            found.append((MONTH_FIRST, _day(m[4], a, b)))
+        if a == b:
+            found += _days(EITHER, m[4], a, b)
+        else:
+            found += [*_days(DAY_FIRST, m[4], b, a), *_days(MONTH_FIRST, m[4], a, b)]
     elif m := _DAY_NAME.match(text):
-        found.append((DAY_NAME, _day(m[3], _month(m[2]), int(m[1]))))
+        found += _days(DAY_NAME, m[3], _month(m[2]), int(m[1]))
     elif m := _NAME_DAY.match(text):
-        found.append((NAME_DAY, _day(m[3], _month(m[1]), int(m[2]))))
-    return [(f, d) for f, d in found if d is not None]
+        found += _days(NAME_DAY, m[3], _month(m[1]), int(m[2]))
+    return sorted(found)
 
 
 def read_value(value: str | None, office: str | None = None) -> tuple[list[tuple[int, int]], str | None, str | None, int | None]:
@@ -170,11 +177,15 @@ def _costs(readings: Readings, policy: str) -> list[float]:
     if len(readings) == 1:
         return [0.0]
     wrong = MONTH_FIRST if policy == "day_first" else DAY_FIRST if policy == "month_first" else -1
-    return [AGAINST_POLICY if f == wrong else 1e-3 * i for i, (f, _) in enumerate(readings)]
+    old = OLD if wrong < 0 else AGAINST_POLICY
+    return [AGAINST_POLICY * (f % LAST_CENTURY == wrong) + old * (f > LAST_CENTURY) + 1e-3 * i for i, (f, _) in enumerate(readings)]
 
 
 def _step(before: tuple[int, int], after: tuple[int, int]) -> float:
-    return SWITCH * (before[0] != after[0]) + BACKWARD * (after[1] < before[1] - BACKWARD_DAYS)
+    a, b = before[0] % LAST_CENTURY, after[0] % LAST_CENTURY
+    # 04/04 is written alike either way
+    alike = a == b or EITHER in (a, b) and {a, b} <= {DAY_FIRST, MONTH_FIRST, EITHER}
+    return SWITCH * (not alike) + BACKWARD * (after[1] < before[1] - BACKWARD_DAYS)
 
 
 def _advance(cost: list[float], before: Readings, after: Readings, policy: str) -> tuple[list[float], list[int]]:
@@ -237,7 +248,10 @@ def choose_readings(parsed: DataFrame, source_col: str, order_cols: list[str], p
     Records without a reading take no part in the chains. Null sources form a source of their own.
     """
     spark = parsed.sparkSession
-    ranged = parsed.repartitionByRange(source_col, *order_cols).sortWithinPartitions(source_col, *order_cols).withColumn("__part", F.spark_partition_id())
+    # written before the ranges are sampled, so that nothing is parsed twice; ranges are as many as their rows ask for
+    parsed = cut(parsed)
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-parsed.count() // RANGE_ROWS))
+    ranged = parsed.repartitionByRange(ranges, source_col, *order_cols).sortWithinPartitions(source_col, *order_cols).withColumn("__part", F.spark_partition_id())
     ranged = cut(ranged)
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -34,10 +34,14 @@ def _finding(when: Column, seq: int, severity: str, code: str, field: str | None
 
 
 def wide_fields(fields: DataFrame) -> DataFrame:
-    """(doc_id, doc_type, s: map name -> text, n: map name -> number): one row a document, for checks across fields."""
+    """fields: doc_id, doc_type, name, value_str, value_num and perhaps pos, their order.
+
+    (doc_id, doc_type, s: map name -> text, n: map name -> number): one row a document, for checks across fields."""
     value = lambda c: F.map_from_entries(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("name", c))))
-    # a field given twice counts once, with its greatest value
-    fields = fields.where("name is not null").groupBy("doc_id", "doc_type", "name").agg(*[F.max(c).alias(c) for c in ("value_str", "value_num")])
+    # a field given twice counts once: the last one where the rows have a position, else the greatest row
+    both = F.struct("value_str", "value_num")
+    last = F.max_by(both, "pos") if "pos" in fields.columns else F.max(both)
+    fields = fields.where("name is not null").groupBy("doc_id", "doc_type", "name").agg(last.alias("v")).select("doc_id", "doc_type", "name", "v.*")
     return fields.groupBy("doc_id", "doc_type").agg(value("value_str").alias("s"), value("value_num").alias("n"))
 
 

@@ -9,13 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from paperloom.functions.scalars import trace_id
 from paperloom.operators.classify import classify
 from paperloom.operators.extract import extract_fields
 from paperloom.operators.score import needs_reprocessing, route, score_documents
-from paperloom.operators.validate import penalize_fields, pii_findings, redact_fields, validate_fields
+from paperloom.operators.validate import low_ocr_confidence, penalize_fields, pii_findings, redact_fields, validate_fields
 from paperloom.session import cut
 from paperloom.sources.readers import check_text
 
@@ -50,34 +51,43 @@ def classify_documents(docs: DataFrame) -> DataFrame:
     return docs.select("*", typed).withColumnsRenamed({"confidence": "type_confidence", "method": "classifier_method"})
 
 
-def judge(docs: DataFrame, fields: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(fields, findings, scores): validate, then lower confidences, then mask, then score."""
+def judge(docs: DataFrame, fields: DataFrame, settings: Settings, more: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(fields, findings, scores): validate, then lower confidences, then mask, then score.
+
+    more: findings from elsewhere, such as a warning about a page hardly recognised.
+    """
     findings = validate_fields(docs, fields)
+    if more is not None:
+        findings = findings.unionByName(more)
     lowered = penalize_fields(fields, findings)
     if settings.redact:
         masked = redact_fields(lowered)
-        # a coalesce to more partitions than there are moves nothing; it only keeps the union from being taken
-        # for partitioned by doc_id, which without adaptive execution (in a stream's batch) it is not
-        findings = findings.coalesce(1 << 20).unionByName(pii_findings(masked).coalesce(1 << 20))
+        # the scores group them by document; stated here, since a union of parts that are each partitioned by
+        # document is not so itself where adaptive execution is off (in a stream's batch)
+        findings = findings.unionByName(pii_findings(masked)).repartition("doc_id")
         lowered = masked.select(*lowered.columns, "redacted")
     scores = score_documents(docs, lowered, findings).withColumn("routing", route(F.col("confidence"), settings.auto_approve, settings.human_review))
     return lowered, findings, scores
 
 
 def run(docs: DataFrame, settings: Settings | None = None) -> Stages:
-    """All stages for docs (doc_id, text[, doc_type or requested_type]).
+    """All stages for docs (doc_id, text[, doc_type or requested_type][, source, mean_confidence][, error_code]).
 
-    Blank and oversized texts become rows of errors and go no further. doc_id is unique; null ids are errors.
+    Blank and oversized texts, and rows that come with an error_code, become rows of errors and go no further.
+    doc_id is unique; null ids are errors. With source and mean_confidence, as `ingest` gives them, documents
+    hardly recognised get a warning.
     """
     settings = settings or Settings()
-    checked = docs.withColumn("error_code", F.coalesce(check_text(F.col("text"), settings.max_text_chars), F.when(F.col("doc_id").isNull(), "no_id")))
+    known = F.col("error_code") if "error_code" in docs.columns else F.lit(None).cast("string")
+    checked = docs.withColumn("error_code", F.coalesce(known, check_text(F.col("text"), settings.max_text_chars), F.when(F.col("doc_id").isNull(), "no_id")))
     errors = checked.where("error_code is not null").select("doc_id", "error_code")
     usable = checked.where("error_code is null").drop("error_code")
     typed = usable if "doc_type" in usable.columns else classify_documents(usable)
-    # narrow rows that every later step reads; written once, so that no text is parsed twice
-    extracted = cut(extract_fields(typed.select("doc_id", "doc_type", "text")))
-    kinds = cut(typed.select("doc_id", "doc_type"))
-    fields, findings, scores = judge(kinds, extracted, settings)
+    # narrow rows that every later step reads; written once, so that no text is classified or parsed twice
+    once = cut(extract_fields(typed.select("doc_id", "doc_type", "text"), with_documents=True))
+    extracted, kinds = once.where("name is not null"), once.where("name is null").select("doc_id", "doc_type")
+    low = low_ocr_confidence(usable) if {"source", "mean_confidence"} <= set(usable.columns) else None
+    fields, findings, scores = judge(kinds, extracted, settings, low)
     return Stages(typed, errors, fields, findings, scores, settings)
 
 
@@ -88,6 +98,59 @@ def results(stages: Stages) -> DataFrame:
     return stages.scores.join(fields, "doc_id", "left").join(findings, "doc_id", "left")
 
 
+def document_results(stages: Stages, tables: DataFrame | None = None, usage: DataFrame | None = None) -> DataFrame:
+    """The result row of each document: trace_id, type, method, fields, tables, findings, confidence, routing, pages, usage.
+
+    tables: doc_id, page, headers, rows, confidence, backend. usage: doc_id, input_tokens, output_tokens, cost_usd,
+    llm_calls. Documents without either have an empty list and zeros. trace_id follows from doc_id, so that a
+    document processed again has the same one.
+    """
+    spark = stages.scores.sparkSession
+    redacted = F.col("redacted") if "redacted" in stages.fields.columns else F.lit(False)
+    field = F.struct("name", "value_str", "value_num", "confidence", "source", F.lit(1).alias("page"), F.lit(None).cast("array<double>").alias("bbox"), redacted.alias("redacted"))
+    fields = stages.fields.groupBy("doc_id").agg(F.sort_array(F.collect_list(field)).alias("fields"))
+    finding = F.struct("seq", "severity", "code", "field", F.to_json("details").alias("details"))
+    findings = stages.findings.groupBy("doc_id").agg(F.sort_array(F.collect_list(finding)).alias("findings"))
+    shape = "doc_id string, page int, headers array<string>, rows array<array<string>>, confidence double, backend string"
+    tables = spark.createDataFrame([], shape) if tables is None else tables
+    held = tables.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page", "headers", "rows", "confidence", "backend"))).alias("tables"))
+    used = ("input_tokens", "output_tokens", "cost_usd", "llm_calls")
+    usage = spark.createDataFrame([], "doc_id string, input_tokens bigint, output_tokens bigint, cost_usd double, llm_calls bigint") if usage is None else usage
+    sums = usage.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in used])
+    optional = [c for c in ("classifier_method", "pipeline_used", "n_pages") if c in stages.documents.columns]
+    about = stages.documents.select("doc_id", *optional)
+    empty = lambda c, t: F.coalesce(F.col(c), F.array().cast(t)).alias(c)
+    rows = stages.scores.join(about, "doc_id").join(fields, "doc_id", "left").join(findings, "doc_id", "left")
+    rows = rows.join(held, "doc_id", "left").join(sums, "doc_id", "left")
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    return rows.select(
+        trace_id(F.col("doc_id")).alias("trace_id"),
+        "doc_id",
+        F.col("doc_type").alias("document_type"),
+        *optional,
+        *[empty(c, kinds[c]) for c in ("fields", "tables", "findings")],
+        F.col("confidence").alias("overall_confidence"),
+        "routing",
+        F.struct(*[F.coalesce(c, F.lit(0)).alias(c) for c in used]).alias("usage"),
+    )
+
+
+class RunTrace:
+    """What each stage of a run put out, counted while the job runs: no pass of its own, no extra shuffle."""
+
+    def __init__(self) -> None:
+        self.observed: dict[str, Observation] = {}
+
+    def span(self, node: str, rows: DataFrame, **counted: Column) -> DataFrame:
+        """rows, watched under the name of a node: how many there are, and sums of what else is given."""
+        self.observed[node] = Observation(node)
+        return rows.observe(self.observed[node], F.count(F.lit(1)).alias("rows"), *[F.sum(c).alias(k) for k, c in counted.items()])
+
+    def log(self) -> list[dict]:
+        """[{node, rows, ...}] in the order the nodes were watched; call it after an action on what was watched."""
+        return [{"node": node, **seen.get} for node, seen in self.observed.items()]
+
+
 def reprocess(stages: Stages, images: DataFrame, reader: Callable[[DataFrame], DataFrame]) -> Stages:
     """One more pass for documents of low confidence that have images; the others stay as they are.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -32,9 +33,9 @@ def read_table_cases(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_forms(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, form) from a folder of annotation files, one object a file; doc_id is the file's name."""
+    """(doc_id, form) from a folder of annotation files, one object a file, in no order; doc_id is the file's name."""
     forms = spark.read.schema(FORM_SCHEMA).option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
-    return forms.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "").alias("doc_id"), "form").orderBy("doc_id")
+    return forms.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "").alias("doc_id"), "form")
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -99,9 +100,11 @@ def document_columns(pages: Column) -> dict[str, Column]:
     }
 
 
-def with_reader(df: DataFrame, reader: Callable[[bytes], list[dict]], content_col: str = "content", id_col: str = "doc_id") -> DataFrame:
+def with_reader(df: DataFrame, reader: Callable[[bytes], list[dict]], content_col: str = "content", id_col: str = "doc_id", with_tables: bool = False) -> DataFrame:
     """(id, pages, error_code): PDF or image bytes through a reader that gives [{text, confidence}] a page.
 
+    With with_tables the pages also tell whether the reader saw a table on them (has_tables).
+
     The reader is a plug-in (a PDF or OCR library is none of this package's needs); what it raises becomes
     the row's error_code. Files go through Arrow a few at a time.
     """
@@ -113,14 +116,51 @@ def with_reader(df: DataFrame, reader: Callable[[bytes], list[dict]], content_co
             for content in batch[content_col]:
                 try:
                     read = reader(bytes(content))
-                    pages.append([{"number": i + 1, "text": p.get("text", ""), "confidence": float(p.get("confidence", 1.0))} for i, p in enumerate(read)])
+                    pages.append([{"number": i + 1, "text": p.get("text", ""), "confidence": float(p.get("confidence", 1.0)), **({"has_tables": bool(p.get("has_tables", False))} if with_tables else {})} for i, p in enumerate(read)])
                     codes.append(None)
                 except Exception as error:  # noqa: BLE001 - any failure is the row's own
                     pages.append(None)
                     codes.append(type(error).__name__)
             yield pd.DataFrame({id_col: batch[id_col], "pages": pages, "error_code": codes})
 
-    return df.select(id_col, content_col).mapInPandas(work, f"{id_col} {id_type}, pages array<struct<number:int,text:string,confidence:double>>, error_code string")
+    return df.select(id_col, content_col).mapInPandas(work, f"{id_col} {id_type}, pages array<struct<number:int,text:string,confidence:double{',has_tables:boolean' if with_tables else ''}>>, error_code string")
+
+
+def with_grids(df: DataFrame, reader: Callable[[bytes], list[dict]], content_col: str = "content", id_col: str = "doc_id") -> DataFrame:
+    """(id, grids, error_code): files through a table reader that gives [{page, cells, confidence}], cells being rows of texts."""
+    id_type = df.schema[id_col].dataType.simpleString()
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            grids, codes = [], []
+            for content in batch[content_col]:
+                try:
+                    grids.append([{"page": int(g.get("page", 1)), "cells": [list(row) for row in g["cells"]], "confidence": float(g.get("confidence", 0.7))} for g in reader(bytes(content))])
+                    codes.append(None)
+                except Exception as error:  # noqa: BLE001 - any failure is the row's own
+                    grids.append([])
+                    codes.append(type(error).__name__)
+            yield pd.DataFrame({id_col: batch[id_col], "grids": grids, "error_code": codes})
+
+    return df.select(id_col, content_col).mapInPandas(work, f"{id_col} {id_type}, grids array<struct<page:int,cells:array<array<string>>,confidence:double>>, error_code string")
+
+
+def retrying(model: Callable[[pd.Series], pd.Series], may_retry: Callable[[Exception], bool], attempts: int = 3, first_wait: float = 1.0, longest_wait: float = 10.0) -> Callable[[pd.Series], pd.Series]:
+    """A model that is asked again after failures that may pass, with waits that double up to a bound; then the failure is raised."""
+
+    def ask(prompts: pd.Series) -> pd.Series:
+        wait = first_wait
+        for attempt in range(attempts):
+            try:
+                return model(prompts)
+            except Exception as error:  # noqa: BLE001 - the caller says which failures may pass
+                if attempt + 1 == attempts or not may_retry(error):
+                    raise
+                time.sleep(min(wait, longest_wait))
+                wait *= 2
+        raise AssertionError("not reached")
+
+    return ask
 
 
 def with_model(df: DataFrame, model: Callable[[pd.Series], pd.Series], prompt_col: str, out_col: str = "answer") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +46,13 @@ def upsert_results(spark: SparkSession, name: str, batch: DataFrame, order: list
         new.unpersist()
 
 
+def repository(spark: SparkSession, name: str | None) -> Callable[[DataFrame], int]:
+    """Where results go: a table if one is named, else nowhere (0 rows stored)."""
+    if name:
+        return lambda batch: upsert_results(spark, name, batch)
+    return lambda batch: 0
+
+
 def write_nowhere(df: DataFrame) -> None:
     df.write.format("noop").mode("overwrite").save()
 
@@ -53,14 +62,20 @@ def results_as_response(results: DataFrame) -> DataFrame:
     return results.withColumnRenamed("findings", "validation_findings")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file exists in the file system its path names, local or not."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
+
+
 def manifest(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(path, sha256) of the files that exist, in the order given."""
-    wanted = [p for p in paths if Path(p).exists()]
+    wanted = [p for p in paths if _exists(spark, p)]
     if not wanted:
         return spark.createDataFrame([], "path string, sha256 string")
-    order = spark.createDataFrame(list(enumerate(wanted)), "ord int, name string")
-    files = spark.read.format("binaryFile").load(wanted).select(F.regexp_replace("path", "^file:", "").alias("name"), F.sha2("content", 256).alias("sha256"))
-    return files.join(F.broadcast(order), "name").orderBy("ord").select(F.col("name").alias("path"), "sha256")
+    order = spark.createDataFrame([(i, p, re.sub("^file:/*", "/", p)) for i, p in enumerate(wanted)], "ord int, path string, name string")
+    files = spark.read.format("binaryFile").load(list({re.sub("^file:/*", "/", p): p for p in wanted}.values())).select(F.regexp_replace("path", "^file:/*", "/").alias("name"), F.sha2("content", 256).alias("sha256"))
+    return files.join(F.broadcast(order), "name").orderBy("ord").select("path", "sha256")
 
 
 def percent(value: float | None) -> str:

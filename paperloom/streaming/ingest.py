@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -10,6 +13,9 @@ from paperloom.plans.pipeline import Settings, run
 from paperloom.sources.writers import upsert_results
 
 
+logger = logging.getLogger(__name__)
+
+
 def read_documents(spark: SparkSession, path: str, schema: str = "doc_id string, text string, received_at timestamp") -> DataFrame:
     return spark.readStream.schema(schema).json(path)
 
@@ -19,10 +25,13 @@ def dedupe(stream: DataFrame, key: str = "doc_id", time: str = "received_at", de
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
-def process_to_table(stream: DataFrame, name: str, checkpoint: str, settings: Settings | None = None) -> StreamingQuery:
-    """Each micro-batch through the pipeline into the results table; a batch given again inserts nothing."""
+def process_to_table(stream: DataFrame, name: str, checkpoint: str, settings: Settings | None = None, also: Callable[[DataFrame], object] | None = None) -> StreamingQuery:
+    """Each micro-batch through the pipeline into the results table; a batch given again inserts nothing.
+
+    also: a further sink for the same rows (a copy, a dashboard); its failure is logged and never fails the batch.
+    """
 
-    def sink(batch: DataFrame, _: int) -> None:
+    def sink(batch: DataFrame, number: int) -> None:
         documents = batch.select("doc_id", "text")
         scores = run(documents, settings).scores
         rows = batch.select("doc_id", "received_at").join(scores, "doc_id").select(
@@ -38,6 +47,11 @@ def process_to_table(stream: DataFrame, name: str, checkpoint: str, settings: Se
             F.to_json(F.struct("n_errors", "n_warnings", "coverage")).alias("result"),
         )
         upsert_results(batch.sparkSession, name, rows)
+        if also is not None:
+            try:
+                also(rows)
+            except Exception:  # noqa: BLE001 - a second sink must not fail what is stored already
+                logger.exception("a further sink of batch %s failed", number)
 
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
