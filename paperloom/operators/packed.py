@@ -11,8 +11,10 @@ Ordered alternatives, tried from the first, each either taking the whole field o
     joined    <- item (('/' / '&' / 'and' / 'y' / 'und' / 'et') item)*
     item      <- quote / bracketed / bare
 
-A quote that is never closed, or has text right after it, makes the parser go back and read it as bare
-text, with an error flag. A legal form after a comma belongs to the item before it; a single word beside a
+    bracketed <- open (bracketed / any but close)* close
+
+A quote that is never closed, or has text right after it, and a bracket that is never closed make the parser
+go back and read them as bare text, with an error flag. A legal form after a comma belongs to the item before it; a single word beside a
 joining word (Bakers and Millers, & Sons, Salud y Vida) is part of a name and no item.
 
 Null and blank fields have no items. Positions count from 1.
@@ -51,6 +53,7 @@ class _Failed(Exception):
 class _Parser:
     def __init__(self, text: str) -> None:
         self.text, self.flags = text, set[str]()
+        self.closed: dict[int, int] | None = None
 
     def quote(self, at: int) -> tuple[str, int]:
         """The text in the quote that opens here, and where it ends. Doubled or escaped quotes count once."""
@@ -84,6 +87,20 @@ class _Parser:
             raise _Failed
         return inside, end
 
+    def bracketed(self, at: int) -> int:
+        """Where the bracket that opens here is closed, those inside it included. One never closed is bare text."""
+        if self.closed is None:
+            self.closed, open_ = {}, []
+            for i, c in enumerate(self.text):
+                if c in BRACKETS:
+                    open_.append(i)
+                elif open_ and c == BRACKETS[self.text[open_[-1]]]:
+                    self.closed[open_.pop()] = i + 1
+        if at not in self.closed:
+            self.flags.add("unclosed bracket")
+            raise _Failed
+        return self.closed[at]
+
     def split(self, seps: re.Pattern) -> list[tuple[str, bool]]:
         """(item, was quoted) between the separators that are outside quotes and brackets."""
         text, items, start, i = self.text, [], 0, 0
@@ -101,8 +118,14 @@ class _Parser:
                     continue
                 except _Failed:
                     pass
+            if i < len(text) and text[i] in BRACKETS and not seps.match(text, i):
+                try:
+                    i = self.bracketed(i)
+                    continue
+                except _Failed:
+                    pass
             m = seps.match(text, i) if i < len(text) else None
-            if m and m.end() > i and not self._inside(start, i):
+            if m and m.end() > i and not self._in_quotes(start, i):
                 items.append((text[start:i], False))
                 i = start = m.end()
             elif i == len(text):
@@ -112,12 +135,9 @@ class _Parser:
                 i += 1
         return items
 
-    def _inside(self, start: int, at: int) -> bool:
-        """Whether a quote or bracket opened since start is closed only after this place."""
+    def _in_quotes(self, start: int, at: int) -> bool:
+        """Whether a quote within the item that begins at start is closed only after this place."""
         part, rest = self.text[start:at], self.text[at:]
-        for open_, close in BRACKETS.items():
-            if part.count(open_) > part.count(close) and close in rest:
-                return True
         marks = len(re.findall(r'(?<!\\)"', part))
         return marks % 2 == 1 and '"' in rest and re.search(r'(?:^|\s)"[^"]*$', part) is not None
 
