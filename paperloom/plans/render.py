@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,17 @@ def _lines(*parts: str | Column) -> Column:
     return F.concat_ws("\n", *[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
+def document(text_of: Callable[[], Column]) -> Callable[[DataFrame], DataFrame]:
+    """A renderer (facts -> doc_id, text) from the expression of its text, which it keeps as its attribute text_of."""
+
+    @functools.wraps(text_of)
+    def render(facts: DataFrame) -> DataFrame:
+        return facts.select(F.col("o_orderkey").alias("doc_id"), text_of().alias("text"))
+
+    render.text_of = text_of
+    return render
+
+
 def order_facts(spark: SparkSession, d: str) -> DataFrame:
     """What an order says as an invoice: number, vendor, dates, sums. Orders without items are left out."""
     items = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("decimal(18,2)").alias("subtotal"))
@@ -47,7 +61,8 @@ def order_facts(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("total", (F.col("subtotal") + F.col("tax")).cast("decimal(18,2)"))
 
 
-def invoices_kv(facts: DataFrame) -> DataFrame:
+@document
+def invoices_kv() -> Column:
     text = _lines(
         F.upper("vendor"),
         F.concat(F.lit("NIT: "), "nit"),
@@ -63,10 +78,11 @@ def invoices_kv(facts: DataFrame) -> DataFrame:
         F.concat(F.lit("Total Due: "), "currency", F.lit(" "), money(F.col("total"))),
         F.concat(F.lit("Currency: "), "currency"),
     )
-    return facts.select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
+    return text
 
 
-def invoices_es(facts: DataFrame) -> DataFrame:
+@document
+def invoices_es() -> Column:
     text = _lines(
         "FACTURA DE VENTA",
         F.concat(F.lit("NIT: "), "nit"),
@@ -79,10 +95,11 @@ def invoices_es(facts: DataFrame) -> DataFrame:
         F.concat(F.lit("Total a pagar: "), money(F.col("total"), "eu")),
         "Condiciones de pago: Net 30",
     )
-    return facts.select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
+    return text
 
 
-def invoices_block(facts: DataFrame) -> DataFrame:
+@document
+def invoices_block() -> Column:
     text = _lines(
         "INVOICE",
         "",
@@ -95,17 +112,19 @@ def invoices_block(facts: DataFrame) -> DataFrame:
         F.concat(F.lit("VAT: "), money(F.col("tax"))),
         F.concat(F.lit("Amount Due: "), money(F.col("total")), F.lit(" "), "currency"),
     )
-    return facts.select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
+    return text
 
 
-def invoices_prose(facts: DataFrame) -> DataFrame:
+@document
+def invoices_prose() -> Column:
     text = F.concat(
         F.lit("INVOICE\n\nThe invoice of "), "vendor", F.lit(" asks for "), "currency", F.lit(" in subtotal of "), money(F.col("subtotal")), F.lit(" plus tax; a grand total of "), money(F.col("total")), F.lit(" is payable soon.")
     )
-    return facts.select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
+    return text
 
 
-def receipts(facts: DataFrame) -> DataFrame:
+@document
+def receipts() -> Column:
     method = F.element_at(F.array(*[F.lit(m) for m in ("cash", "Visa ending 1234", "bank transfer", "Mastercard")]), (F.col("o_orderkey") % 4 + 1).cast("int"))
     text = _lines(
         F.col("vendor"),
@@ -114,10 +133,11 @@ def receipts(facts: DataFrame) -> DataFrame:
         F.concat(F.lit("Total: $ "), money(F.col("total"))),
         F.concat(F.lit("Paid by: "), method),
     )
-    return facts.select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
+    return text
 
 
-def contracts(facts: DataFrame) -> DataFrame:
+@document
+def contracts() -> Column:
     text = _lines(
         "SERVICES AGREEMENT",
         F.concat(F.lit("Contract No: MSA-"), F.col("o_orderkey") + 10),
@@ -127,10 +147,11 @@ def contracts(facts: DataFrame) -> DataFrame:
         F.concat(F.lit("The contract value is "), "currency", F.lit(" "), money(F.col("total")), F.lit(".")),
         "Governing Law: State of Delaware",
     )
-    return facts.select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
+    return text
 
 
-def forms(facts: DataFrame) -> DataFrame:
+@document
+def forms() -> Column:
     text = _lines(
         "APPLICATION FORM",
         F.concat(F.lit("Form No: F-"), F.col("o_orderkey") + 100),
@@ -138,15 +159,17 @@ def forms(facts: DataFrame) -> DataFrame:
         F.concat(F.lit("Date: "), day(F.col("issue"), "text")),
         "Department: Finance;",
     )
-    return facts.select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
+    return text
 
 
-def forms_without_colons(facts: DataFrame) -> DataFrame:
+@document
+def forms_without_colons() -> Column:
     text = _lines("REQUEST", F.concat(F.lit("Form No    F-"), "o_orderkey"), F.concat(F.lit("Submitted by    "), "vendor"), F.concat(F.lit("Date    "), day(F.col("issue"), "iso")))
-    return facts.select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
+    return text
 
 
-def reports(facts: DataFrame) -> DataFrame:
+@document
+def reports() -> Column:
     text = _lines(
         F.concat(F.lit("Yearly Summary Of "), "nation"),
         "",
@@ -154,15 +177,13 @@ def reports(facts: DataFrame) -> DataFrame:
         F.concat(F.lit("Published: "), day(F.col("issue"), "long")),
         F.concat(F.lit("Fiscal Year: FY "), F.year("issue")),
     )
-    return facts.select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
+    return text
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
     """Rendered documents of all kinds, one an order, with unique ids."""
-    facts = order_facts(spark, d)
     kinds = (invoices_kv, receipts, contracts, forms, reports)
-    parts = [kind(facts.where(F.col("o_orderkey") % len(kinds) == i)) for i, kind in enumerate(kinds)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    kind = F.col("o_orderkey") % len(kinds)
+    # one pass over the facts: each row is rendered by its own kind
+    text = F.coalesce(*[F.when(kind == i, k.text_of()) for i, k in enumerate(kinds)])
+    return order_facts(spark, d).select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
