@@ -1,10 +1,13 @@
 """One answer whatever the size of the list of entries."""
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from paperloom.llm.canonical import BKTree, edits, map_values
+from paperloom.llm.packing import fill_containers
+from paperloom.llm.quantiles import exact_quantiles
 
 
 @pytest.mark.parametrize("shards", [2, 3, 7])
@@ -50,3 +53,22 @@ def test_edits_in_bits_are_the_tables(a, b):
         for j, y in enumerate(b, 1):
             row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
     assert edits(a, b) == row[-1] == edits(b, a)
+
+
+def test_exact_percentiles_of_a_hot_group_are_numpys(spark):
+    r = np.random.default_rng(3)
+    rows = [("hot", float(x)) for x in r.normal(size=3000)] + [("small", 1.0), ("small", 3.0), (None, 5.0), ("hot", None), ("hot", float("nan"))] + [("tied", 2.0)] * 50
+    df = spark.createDataFrame(rows, "g string, v double")
+    shares = {"p50": 0.5, "p95": 0.95, "top": 1.0, "low": 0.0}
+    got = {x.g: [x[n] for n in shares] for x in exact_quantiles(df, ["g"], "v", shares).collect()}
+    assert set(got) == {"hot", "small", None, "tied"}
+    for g, values in got.items():
+        held = [v for k, v in rows if k == g and v is not None and v == v]
+        assert values == pytest.approx(list(np.quantile(held, list(shares.values()))))
+    assert exact_quantiles(df.limit(0), ["g"], "v", shares).count() == 0
+
+
+def test_shards_are_bounded_by_rows_too(spark):
+    sizes = spark.createDataFrame([(i, 1 if i % 3 else 0) for i in range(300)], "id int, size int")
+    got = fill_containers(sizes, 50, shard_rows=40).collect()
+    assert len(got) == 300 and len({x.container >> 36 for x in got}) > 4
