@@ -33,7 +33,7 @@ def normalize_text(text: Column) -> Column:
 
 def group(text: Column, pattern: str, n: int = 1) -> Column:
     """A group of the first match, null if there is none or it is empty."""
-    return F.nullif(F.regexp_extract(text, pattern, n), F.lit(""))
+    return bind(F.regexp_extract(text, pattern, n), lambda found: F.when(found != "", found))
 
 
 def iso_date(year: Column, month: Column, day: Column) -> Column:

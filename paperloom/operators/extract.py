@@ -1,12 +1,12 @@
 """Field extraction: labelled values by ranked label joins, then pattern rules for what no label gave.
 
-The pairs and the values of the rules are computed as arrays next to each document, exploded into narrow
-candidate rows, joined to a broadcast table of labels (a constant of the code, under 200 rows) and reduced
-by one aggregation per document, so no text is ever shuffled.
+The pairs and the values of the rules are arrays next to each document; labels are a constant map of the plan,
+and the best hit of each field is picked within the row. Only what was found leaves it: no join, no shuffle.
 """
 
 from __future__ import annotations
 
+import re
 from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,7 +57,7 @@ def coerce(field: Column, raw: Column) -> Column:
     method = reduce(lambda w, m: w.when(F.lower(raw).contains(m), m), PAYMENT_METHODS, F.when(F.lit(False), ""))
     year, ident = group(raw, YEAR, 0), group(raw, ID_LIKE, 0)
     tidy = F.regexp_replace(F.btrim(raw), "[.;,]+$", "")
-    either = lambda good, bad, p: pack(F.coalesce(good, bad), null_num, F.when(good.isNotNull(), F.lit(0.0)).otherwise(p))
+    either = lambda good, bad, p: bind(good, lambda g: pack(F.coalesce(g, bad), null_num, F.when(g.isNotNull(), F.lit(0.0)).otherwise(p)))
     return (
         F.when(field.isin(*NUMERIC_FIELDS), pack(null_str, normalize_amount(raw), 0.0))
         .when(field == "term_months", pack(null_str, months, 0.0))
@@ -109,61 +109,77 @@ def extract_fields(docs: DataFrame, with_documents: bool = False) -> DataFrame:
     With with_documents, a row with a null name for each document as well, so that one pass over the texts
     tells the documents' types too.
 
-    docs: doc_id, text, doc_type (null: classified here). A document is known by doc_id; of several rows
-    with one doc_id all candidates count together.
+    docs: doc_id, text, doc_type (null: no field; no such column: classified here). Every row is a document of
+    its own. All is worked out within the row: nothing is joined, shuffled or grouped.
     """
     if "doc_type" not in docs.columns:
         docs = docs.select("doc_id", "text", F.inline(F.array(classify(F.col("text")))))
-    spark = docs.sparkSession
-    labels = label_table(spark)
-    ready = with_candidates(docs)
-    # pairs and rules in one explode, so that the texts are parsed once
-    both = ready.select(
-        "doc_id",
-        "doc_type",
-        F.explode(
-            F.concat(
-                F.transform("pairs", lambda p: F.struct(p["pos"], p["nkey"], p["value"], F.lit(None).cast("string").alias("field"), F.lit(None).cast("double").alias("confidence"))),
-                F.transform("rules", lambda r: F.struct((r["ord"] + 1_000_000).alias("pos"), F.lit(None).cast("string").alias("nkey"), r["raw"].alias("value"), r["field"], r["confidence"])),
-                *([F.array(F.struct(F.lit(0).alias("pos"), F.lit(None).cast("string").alias("nkey"), F.lit(DOCUMENT).alias("value"), F.lit(DOCUMENT).alias("field"), F.lit(1.0).alias("confidence")))] if with_documents else []),
-            )
-        ).alias("c"),
-    ).select("doc_id", "doc_type", "c.*")
-    # one broadcast join: a key meets the labels that begin with its first word, and either is the label or begins with it
-    word = lambda c: F.regexp_extract(c, r"^[^ (]+", 0)
-    known = sorted({label for *_, label in label_rows()})
-    prefix = labels.select(F.col("doc_type").alias("lt"), F.col("field").alias("lf"), "rank", "label", word(F.col("label")).alias("lw"))
-    joined = both.withColumn("w", word(F.col("nkey"))).join(F.broadcast(prefix), (F.col("w") == F.col("lw")) & (F.col("doc_type") == F.col("lt")), "left")
-    is_exact = F.col("nkey") == F.col("label")
-    starts = F.col("nkey").startswith(F.concat("label", F.lit(" "))) | F.col("nkey").startswith(F.concat("label", F.lit("(")))
-    is_near = starts & (F.length("label") >= 3) & (F.length("nkey") - F.length("label") <= 12) & ~F.col("nkey").isin(known)
-    is_rule = F.col("field").isNotNull()
-    hits = joined.where(is_rule | is_exact | is_near).select(
-        "doc_id",
-        "doc_type",
-        F.coalesce("field", "lf").alias("name"),
-        F.when(is_rule, 3).when(is_exact, 1).otherwise(2).alias("pass"),
-        F.coalesce("rank", F.lit(0)).alias("rank"),
-        "pos",
-        F.col("value").alias("raw"),
-        F.when(is_rule, F.col("confidence")).when(is_exact, F.greatest(F.lit(0.55), 0.92 - 0.04 * F.col("rank"))).otherwise(F.greatest(F.lit(0.5), 0.82 - 0.04 * F.col("rank"))).alias("confidence"),
-    )
-    # only the first hit by label is read; if it must be dropped, the rules may still give the field
-    first = (
-        hits.repartition("doc_id")
-        .groupBy("doc_id", "doc_type", "name", (F.col("pass") == 3).alias("by_rule"))
-        .agg(F.min_by(F.struct("raw", "confidence"), F.struct("pass", "rank", "pos")).alias("h"))
-    )
-    raw = F.when(F.col("by_rule"), F.col("h.raw")).otherwise(F.btrim("h.raw"))
+    ready = with_candidates(docs).select("doc_id", "doc_type", _hits(F.col("doc_type"), F.col("pairs"), F.col("rules")).alias("hits"))
+    names = F.coalesce(F.try_element_at(_literal_map({t: F.array(*[F.lit(n) for n in fields]) for t, fields in FIELDS.items()}), F.col("doc_type")), F.array().cast("array<string>"))
+    if with_documents:
+        names = F.concat(names, F.array(F.lit(DOCUMENT)))
+    # of a field's hits only the first by label is read; if it must be dropped, the first rule may still give the field
+    of_field = lambda n, is_rule: F.get(F.filter("hits", lambda h: (h["field"] == n) & ((h["pass"] == RULE) == is_rule)), F.lit(0))
+    tried = F.transform(names, lambda n: F.struct(n.alias("name"), F.array_compact(F.array(of_field(n, False), of_field(n, True))).alias("tries")))
+    wanted = F.filter(tried, lambda t: (F.size(t["tries"]) > 0) | (t["name"] == DOCUMENT))
+    rows = ready.select("doc_id", "doc_type", F.inline(wanted))
+
+    def read(hit: Column) -> Column:
+        is_rule = hit["pass"] == RULE
+        as_found = F.struct(hit["raw"].alias("value_str"), F.lit(None).cast("double").alias("value_num"), F.lit(0.0).alias("penalty"))
+        value = F.when(is_rule & F.col("name").isin("vendor", "title", "parties"), as_found).otherwise(coerce(F.col("name"), F.when(is_rule, hit["raw"]).otherwise(F.btrim(hit["raw"]))))
+        return bind(value, lambda v: F.struct(v["value_str"], v["value_num"], F.round(F.least(F.lit(0.98), F.greatest(F.lit(0.05), hit["confidence"] - v["penalty"])), 3).alias("confidence")))
+
+    good = lambda v: (F.coalesce(v["value_str"], F.lit("")) != "") | v["value_num"].isNotNull()
     # the generator keeps the reading in one place of the plan: nothing above it is pushed into it
-    as_found = F.struct(raw.alias("value_str"), F.lit(None).cast("double").alias("value_num"), F.lit(0.0).alias("penalty"))
-    value = F.when(F.col("by_rule") & F.col("name").isin("vendor", "title", "parties", DOCUMENT), as_found).otherwise(coerce(F.col("name"), raw))
-    read = first.select("doc_id", "doc_type", "name", "by_rule", F.col("h.confidence").alias("base"), F.inline(F.array(value)))
-    good = read.where("coalesce(value_str, '') <> '' or value_num is not null")
-    best = good.groupBy("doc_id", "doc_type", "name").agg(F.min_by(F.struct("value_str", "value_num", "base", "penalty"), "by_rule").alias("u"))
-    confidence = F.round(F.least(F.lit(0.98), F.greatest(F.lit(0.05), F.col("u.base") - F.col("u.penalty"))), 3)
-    name = F.nullif(F.col("name"), F.lit(DOCUMENT)) if with_documents else F.col("name")
-    return best.select("doc_id", "doc_type", name.alias("name"), F.col("u.value_str").alias("value_str"), F.col("u.value_num").alias("value_num"), confidence.alias("confidence"), F.lit("regex").alias("source"))
+    best = F.inline(F.array(F.get(F.filter(F.transform("tries", read), good), F.lit(0))))
+    out = rows.select("doc_id", "doc_type", "name", best)
+    kept = (F.col("value_str").isNotNull() | F.col("value_num").isNotNull()) | (F.col("name") == DOCUMENT)
+    return out.where(kept).select("doc_id", "doc_type", F.nullif(F.col("name"), F.lit(DOCUMENT)).alias("name"), "value_str", "value_num", "confidence", F.lit("regex").alias("source"))
+
+
+EXACT, NEAR, RULE = 1, 2, 3
+
+
+def _literal_map(entries: dict[str, Column]) -> Column:
+    return F.create_map(*[x for k, v in entries.items() for x in (F.lit(k), v)])
+
+
+def _labels_by_word() -> Column:
+    """map<doc_type, map<first word, array<struct<field, rank, label>>>>: a constant of the plan, under 200 labels."""
+    by: dict[str, dict[str, list[Column]]] = {}
+    for doc_type, field, rank, label in label_rows():
+        entry = F.struct(F.lit(field).alias("field"), F.lit(rank).alias("rank"), F.lit(label).alias("label"))
+        by.setdefault(doc_type, {}).setdefault(re.match(r"[^ (]+", label)[0], []).append(entry)
+    return _literal_map({t: _literal_map({w: F.array(*entries) for w, entries in words.items()}) for t, words in by.items()})
+
+
+def _hits(doc_type: Column, pairs: Column, rules: Column) -> Column:
+    """array<struct<pass, rank, pos, field, raw, confidence>>, the best first: what labels and rules found.
+
+    A key meets the labels that begin with its first word, and either is the label or begins with it.
+    """
+    known = sorted({label for *_, label in label_rows()})
+    labels = F.try_element_at(_labels_by_word(), doc_type)
+    none = F.array().cast("array<struct<field:string,rank:int,label:string>>")
+
+    def near(nkey: Column, label: Column) -> Column:
+        starts = nkey.startswith(F.concat(label, F.lit(" "))) | nkey.startswith(F.concat(label, F.lit("(")))
+        return starts & (F.length(label) >= 3) & (F.length(nkey) - F.length(label) <= 12) & ~nkey.isin(known)
+
+    def of_pair(p: Column) -> Column:
+        of_word = F.coalesce(F.try_element_at(labels, F.regexp_extract(p["nkey"], r"^[^ (]+", 0)), none)
+        met = F.filter(of_word, lambda b: (p["nkey"] == b["label"]) | near(p["nkey"], b["label"]))
+
+        def hit(b: Column) -> Column:
+            exact = p["nkey"] == b["label"]
+            confidence = F.when(exact, F.greatest(F.lit(0.55), 0.92 - 0.04 * b["rank"])).otherwise(F.greatest(F.lit(0.5), 0.82 - 0.04 * b["rank"]))
+            return F.struct(F.when(exact, EXACT).otherwise(NEAR).alias("pass"), b["rank"].alias("rank"), p["pos"].alias("pos"), b["field"].alias("field"), p["value"].alias("raw"), confidence.alias("confidence"))
+
+        return F.transform(met, hit)
+
+    by_rule = F.transform(rules, lambda r: F.struct(F.lit(RULE).alias("pass"), F.lit(0).alias("rank"), r["ord"].alias("pos"), r["field"].alias("field"), r["raw"].alias("raw"), r["confidence"].alias("confidence")))
+    return F.array_sort(F.concat(F.flatten(F.transform(pairs, of_pair)), by_rule))
 
 
 def extract_with_answers(docs: DataFrame, source: str = "extractor") -> tuple[DataFrame, DataFrame]:
