@@ -3,6 +3,7 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from paperloom.operators.validate import compared_date
 from paperloom.plans.reference_queries import QUERIES
@@ -42,9 +43,9 @@ def test_dates_are_compared_in_the_forms_of_iso_dates_only(spark, tmp_path):
     texts = ["2025-09-20", "20250920", "2025-W38-6", "2025W386", "2025-W38", "2020-W53-5", "2025-W53-1", "2025-09-20T01:35", "2025-09-20 01:35:00", "2025-9-20", "2025", "2025-02-30", "20/09/2025", "", None]
     got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", compared_date(F.col("t")).cast("string").alias("d")).orderBy("i").collect()
     assert [r.d for r in got] == ["2025-09-20"] * 4 + ["2025-09-15", "2021-01-01"] + [None] * 9
-    columns = "trace_id string, invoice_number string, vendor string, vendor_tax_id string, issue_date string, due_date string, currency string, subtotal double, tax double, total double"
+    columns = "trace_id string, invoice_number string, vendor string, vendor_tax_id string, issue_date string, due_date string, currency string, subtotal double, tax double, total double, payment_terms string"
     dates = {"a": ("2025-09-20", "2025-09-01"), "b": ("20250920", "2025-09-01"), "c": ("2025-09-20T01:35", "2025-09-01"), "d": ("2025-09-01", "2025-09-20")}
-    spark.createDataFrame([(k, "1", "v", "900", *v, "EUR", 1.0, 1.0, 2.0) for k, v in dates.items()], columns).write.parquet(f"{tmp_path}/invoices.parquet")
+    spark.createDataFrame([(k, "1", "v", "900", *v, "EUR", 1.0, 1.0, 2.0, None) for k, v in dates.items()], columns).write.parquet(f"{tmp_path}/invoices.parquet")
     assert {r.doc_id for r in QUERIES["check_date_order"](spark, str(tmp_path)).collect()} == {"a", "b"}
 
 
