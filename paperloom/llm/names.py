@@ -324,8 +324,8 @@ def join_keys(p: dict) -> list[tuple[str, str, int, str]]:
     edits), and the number of words beyond that; below 10 letters segments for k = 3 would tell nothing, and k
     is 1. Keys of a length either could have are in both spaces. Persons with a known given name meet within
     that name only, on their surnames: a given name thousands share would make a segment that tells nothing.
-    Shorter forms (role s) meet fuller ones (role f) only, never each other, so that a surname a tenth of all
-    share costs its few short forms times its bearers, not the square of these.
+    Shorter forms and fuller ones meet only each other, so that a surname a tenth of all share costs its few
+    short forms times its bearers, not the square of these. The side with fewer keys asks (role s).
     """
     out: list[tuple[str, str, int, str]] = []
 
@@ -339,8 +339,12 @@ def join_keys(p: dict) -> list[tuple[str, str, int, str]]:
 
     if p["kind"] == "vendor":
         if all(len(t) > 1 for t in p["core"]):
-            for key in {"".join(p["core"]), "".join(p["core"][::-1])}:
-                whole("v", key, 2)
+            # the other order is found, and need not be sought
+            for key, role in (("".join(p["core"]), ""), ("".join(p["core"][::-1]), "r")):
+                if not role or key != "".join(p["core"]):
+                    whole("v", key, 2, role)
+        if len(p["core"]) > 3:
+            whole(f"v{len(p['core'])}", "".join(p["core"]), len(p["core"]))
         if len(p["core"]) == 2:
             a, b = p["core"]
             for word, other in ((a, b), (b, a)):
@@ -364,10 +368,11 @@ def join_keys(p: dict) -> list[tuple[str, str, int, str]]:
             last = n == len(parts)
             if last and complete:
                 whole(f"{base}={n}", given + key, n + extra)
+            # nearly every name may be a shorter form of one with more surnames, which are few: these ask
             if last:
-                whole(f"{base}<{n}", given + key, n + extra, "s")
-            if not (last and complete):
                 whole(f"{base}<{n}", given + key, n + extra, "f")
+            if not (last and complete):
+                whole(f"{base}<{n}", given + key, n + extra, "s")
     for initial in {g[0] for g in p["given"]}:
         for n, key in enumerate(parts, 1):
             if named:
@@ -377,6 +382,17 @@ def join_keys(p: dict) -> list[tuple[str, str, int, str]]:
     return list(dict.fromkeys(out))
 
 
+_TRADE_BITS = {t: 1 << i for i, t in enumerate(TRADES)}
+_LEGAL_BITS = {v: 1 << len(TRADES) + i for i, v in enumerate(dict.fromkeys(LEGAL.values()))}
+ALL_TRADES, ALL_LEGAL = sum(_TRADE_BITS.values()), sum(_LEGAL_BITS.values())
+
+
+def kind_bits(p: dict) -> int:
+    """The lines of trade and legal forms a company may have; all where the name has none, and for persons."""
+    trade, legal = p.get("trade"), p.get("legal")
+    return (sum(_TRADE_BITS[t] for t in trade) if trade else ALL_TRADES) | (_LEGAL_BITS[legal] if legal else ALL_LEGAL)
+
+
 def pack(p: dict) -> str:
     """A parse as a short text, equal for equal parses; unpack reads it."""
     return json.dumps([p["core"], p["trade"], p["legal"]] if p["kind"] == "vendor" else [p["given"], p["middle"], p["surnames"], 0], separators=(",", ":"))
@@ -402,8 +418,9 @@ def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _key_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = [(space, key, k, role, rid) for rid in batch["rid"] for space, key, k, role in join_keys(unpack(rid))]
-        yield pd.DataFrame(rows, columns=["space", "key", "k", "role", "rid"])
+        parsed = [(rid, unpack(rid)) for rid in batch["rid"]]
+        rows = [(space, key, k, role, rid, kind_bits(p)) for rid, p in parsed for space, key, k, role in join_keys(p)]
+        yield pd.DataFrame(rows, columns=["space", "key", "k", "role", "rid", "kinds"])
 
 
 def _verify_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -432,8 +449,9 @@ def link_names(names: DataFrame) -> DataFrame:
     records = parsed.select("rid", "fullness").distinct()
     # few bytes but much work a row: an explicit number of partitions is not coalesced away
     spread = max(names.sparkSession.sparkContext.defaultParallelism, int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    keys = records.select("rid").repartition(spread, F.xxhash64("rid")).mapInPandas(_key_batches, "space string, key string, k int, role string, rid string")
-    verified = cut(segment_join(keys).mapInPandas(_verify_batches, "verdict string, a string, b string").distinct())
+    keys = records.select("rid").repartition(spread, F.xxhash64("rid")).mapInPandas(_key_batches, "space string, key string, k int, role string, rid string, kinds bigint")
+    candidates = segment_join(keys, records, (ALL_TRADES, ALL_LEGAL)).repartition(spread, "left_rid", "right_rid")
+    verified = cut(candidates.mapInPandas(_verify_batches, "verdict string, a string, b string").distinct())
 
     same = connected_components(verified.where("verdict = 'same'"))
     classes = records.join(same.withColumnRenamed("node", "rid"), "rid", "left").select("rid", F.coalesce("label", "rid").alias("class"), "fullness")

@@ -4,9 +4,9 @@ import itertools
 import random
 
 from paperloom.llm.canonical import find, grow
-from paperloom.llm.names import compare_persons, join_keys, link_names, name_pairs, parse_person
+from paperloom.llm.names import ALL_LEGAL, ALL_TRADES, compare_companies, compare_persons, join_keys, kind_bits, link_names, name_pairs, parse_company, parse_person
 from paperloom.llm.other_names import other_names
-from paperloom.llm.segment_join import OTHER_ROLE, banded
+from paperloom.llm.segment_join import OTHER_ROLE, banded, segment_join
 
 
 def test_all_surname_words_count():
@@ -73,3 +73,29 @@ def test_a_hot_entity_is_paired_in_blocks(spark):
     rows = [("vendor", "e", f"n{i:03}") for i in range(40)] + [("vendor", "other", "x"), ("vendor", "other", "y")]
     pairs = name_pairs(spark.createDataFrame(rows, "kind string, entity string, name string"), 7).collect()
     assert len(pairs) == len(set(pairs)) == 40 * 39 // 2 + 1
+
+
+def test_what_only_shares_a_segment_is_no_candidate_and_no_side_is_sent_to_the_driver(spark):
+    keys = [("v", "gonocirworanen", 3, "a"), ("v", "gonoxabtufelik", 3, "b"), ("v", "gonocirworaxen", 3, "c")]
+    joined = segment_join(spark.createDataFrame(keys, "space string, key string, k int, rid string"))
+    assert {tuple(sorted(r)) for r in joined.collect()} == {("a", "c")}
+    assert "SortMergeJoin [g#" in joined._jdf.queryExecution().toString()
+
+
+def test_other_trades_and_forms_are_told_apart_within_the_join():
+    r = random.Random(5)
+    tails = ["", "Foods", "Fds.", "Textiles", "Serv.", "AG", "Foods AG", "Foods GmbH", "Trans. Inc", "Transport Inc", "Transportes S.A."]
+    parsed = [parse_company(f"{r.choice(['Gonocir', 'Gonocr'])} {r.choice(['Woranen', 'Wornaen'])} {t}") for t in tails for _ in range(4)]
+    apart = 0
+    for x, y in itertools.combinations(parsed, 2):
+        common = kind_bits(x) & kind_bits(y)
+        if not (common & ALL_TRADES and common & ALL_LEGAL):
+            apart += 1
+            assert compare_companies(x, y) == ""
+    assert apart
+
+
+def test_a_shorter_form_is_found_from_the_side_with_fewer_keys(spark):
+    names = ["Juan Kettelman", "Juan Ketelman Lopezsson", "J. Solamurtz", "Richard Solamurt", "Woranen Gonocir Foods AG", "Gonocir Wornen Foods AG"]
+    got = _linked(spark, "submitter", *names[:4]) | _linked(spark, "vendor", *names[4:])
+    assert got == {("Juan Ketelman Lopezsson", "Juan Kettelman"), ("Gonocir Wornen Foods AG", "Woranen Gonocir Foods AG")}
